@@ -290,7 +290,7 @@ def kernel_weights(spark, sf_dir):
     return spark.createDataFrame(rows, "lag long, bartlett double, parzen double, qs double")
 
 
-@query(" UNION ALL ".join(f"SELECT '{c}' AS cluster, count(*) AS clusters, CAST(min(n) AS DOUBLE) AS min_size, CAST(median(n) AS DOUBLE) AS median_size, round(avg(n), 9) AS mean_size, CAST(max(n) AS DOUBLE) AS max_size, round(stddev_pop(n) / avg(n), 9) AS cv, round(max(n) / sum(n), 12) AS largest_share, round(sum(n) * sum(n) / sum(n * n), 6) AS effective_clusters, count_if(n = 1) AS singleton_clusters FROM (SELECT {c}, CAST(count(*) AS DOUBLE) AS n FROM lineitem GROUP BY 1)" for c in ("l_suppkey", "l_partkey", "l_orderkey")))
+@query(" UNION ALL ".join(f"SELECT '{c}' AS cluster, count(*) AS clusters, CAST(min(n) AS DOUBLE) AS min_size, CAST(median(n) AS DOUBLE) AS median_size, round(avg(n), 9) AS mean_size, CAST(max(n) AS DOUBLE) AS max_size, round(stddev_pop(n) / avg(n), 9) AS cv, round(max(n) / sum(n), 12) AS largest_share, round(sum(n) * sum(n) / sum(n * n), 6) AS effective_clusters, CAST(count_if(n = 1) AS BIGINT) AS singleton_clusters FROM (SELECT {c}, CAST(count(*) AS DOUBLE) AS n FROM lineitem GROUP BY 1)" for c in ("l_suppkey", "l_partkey", "l_orderkey")))
 def cluster_diagnostics(spark, sf_dir):
     out = resampling.cluster_diagnostics(_t(spark, sf_dir, "lineitem"), ["l_suppkey", "l_partkey", "l_orderkey"])
     return out.withColumns({"mean_size": F.round("mean_size", 9), "cv": F.round("cv", 9), "largest_share": F.round("largest_share", 12), "effective_clusters": F.round("effective_clusters", 6)})
