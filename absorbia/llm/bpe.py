@@ -16,7 +16,7 @@ import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
-from .common import map_text
+from .common import claim, map_text
 
 #: Pieces a Python worker remembers before it starts anew.
 MEMO = 600_000
@@ -191,6 +191,7 @@ def loaded(spec: str) -> Bpe:
     key = hash(spec)
     if key not in _loaded:
         _loaded[key] = Bpe(spec)
+    claim("bpe", _loaded.clear)
     return _loaded[key]
 
 

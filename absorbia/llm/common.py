@@ -11,6 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 _own_dir: str | None = None
+_owner: tuple[str, Callable[[], None]] | None = None
 
 
 def scratch(spark: SparkSession) -> str:
@@ -32,6 +33,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def claim(name: str, clear: Callable[[], None]) -> None:
+    """Make `name` the one operator whose memory this worker keeps; another's is cleared."""
+    global _owner
+    if _owner is not None and _owner[0] != name:
+        _owner[1]()
+    _owner = (name, clear)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -12,7 +12,9 @@ from zlib import crc32
 
 import numpy as np
 
-MEMO = 1_000_000
+from .common import claim
+
+MEMO = 500_000
 _CORE = re.compile(r"^(\W*)(.*?)(\W*)$", re.S)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _memo: dict[str, int] = {}
@@ -36,6 +38,7 @@ def piece_code(piece: str) -> int:
 
 def codes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """(row of each piece, code of each piece)."""
+    claim("features", _memo.clear)
     if len(_memo) > MEMO:
         _memo.clear()
     split = [(t or "").split() for t in texts]

@@ -16,7 +16,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from .common import bounded_ids, map_text, pieces
+from .common import bounded_ids, claim, map_text, pieces
 
 #: Bounds of what is fitted: training documents, words and n-grams kept, longest n-gram.
 MAX_DOCS = 4_000
@@ -36,6 +36,10 @@ class Model:
     memo: dict[str, int] = field(default_factory=dict)
     rows: list[np.ndarray] = field(default_factory=list)
 
+    def forget(self) -> None:
+        self.memo.clear()
+        self.rows.clear()
+
     def word(self, word: str) -> np.ndarray:
         """Log frequency of a lower-cased word per language."""
         found = self.words.get(word)
@@ -57,9 +61,9 @@ class Model:
         return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        claim("langid", self.forget)
         if len(self.memo) > MEMO:
-            self.memo.clear()
-            self.rows.clear()
+            self.forget()
         memo, rows = self.memo, self.rows
         split = [(t or "").split() for t in texts]
         for p in set().union(*split) - memo.keys():

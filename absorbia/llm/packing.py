@@ -23,13 +23,13 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 
 from .bpe import byte_letters
-from .common import materialize, pieces
+from .common import claim, materialize, pieces
 
 CAPACITY = 4096
 END_ID = 1
 SALTS = 64
 #: Words a Python worker remembers before it starts anew.
-MEMO = 1_000_000
+MEMO = 700_000
 ODD = re.compile("[\x1c-\x1f]")
 
 # The words of the tokenizer's split pattern, which it applies to lower-cased text.
@@ -103,6 +103,7 @@ def encode_texts(texts: list[str | None], spec: str) -> list[bytes]:
     key = hash(spec)
     if key not in _coders:
         _coders[key] = Coder(spec)
+    claim("packing", _coders.clear)
     return _coders[key].encode(texts)
 
 

@@ -19,18 +19,17 @@ from zlib import crc32
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from .common import bounded_ids, map_text
+from .common import bounded_ids, claim, map_text
 
 #: Bounds of what is fitted: confirmed texts, unlabelled texts, features.
 MAX_POSITIVE = 2_000
 MAX_UNLABELLED = 4_000
 MAX_FEATURES = 2_048
-BITS = 22
 PREFIXES = (4, 5, 6)
 LEAST_ROWS = 4
 LEAST_Z = 4.0
 THRESHOLD = 0.5
-MEMO = 1_000_000
+MEMO = 500_000
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»„“”’…¡¿"
 
 
@@ -40,7 +39,7 @@ def piece_features(piece: str) -> tuple[int, ...]:
     if not word:
         return ()
     names = [f"w{word}", *(f"p{word[:n]}" for n in PREFIXES if len(word) >= n)]
-    return tuple(crc32(n.encode("utf-8", "surrogatepass")) >> 32 - BITS for n in names)
+    return tuple(crc32(n.encode("utf-8", "surrogatepass")) - (1 << 31) for n in names)
 
 
 @dataclass
@@ -50,6 +49,7 @@ class Model:
     memo: dict[str, tuple[int, ...]] = field(default_factory=dict)
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
+        claim("toxicity", self.memo.clear)
         if len(self.memo) > MEMO:
             self.memo.clear()
         memo, weight = self.memo, self.weight
@@ -64,18 +64,22 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
     """Non-negative PU training with logistic loss on 0/1 rows (lists of distinct features)."""
     if not positive or not unlabelled:
         return Model({}, -35.0)
-    size = 1 << BITS
-    p, u = (np.bincount(np.concatenate(x), minlength=size) if x else np.zeros(size) for x in (positive, unlabelled))
+    features, p = np.unique(np.concatenate(positive), return_counts=True)
+    others, more = np.unique(np.concatenate(unlabelled), return_counts=True)
+    features, places = np.unique(np.concatenate([features, others]), return_inverse=True)
+    p, u = np.bincount(places[: len(p)], p, len(features)), np.bincount(places[len(p) :], more, len(features))
     share = (p + u + 1.0) / (len(positive) + len(unlabelled) + 2.0)
     z = (p / len(positive) - u / len(unlabelled)) / np.sqrt(share * (1 - np.minimum(share, 0.999)) * (1 / len(positive) + 1 / len(unlabelled)))
     z[p + u < LEAST_ROWS] = 0
     chosen = np.argsort(-np.abs(z), kind="stable")[:MAX_FEATURES]
     chosen = np.sort(chosen[np.abs(z[chosen]) >= LEAST_Z])
-    at = np.full(size, -1)
-    at[chosen] = np.arange(len(chosen))
+    features = features[chosen]
 
     def rows(lists):
-        kept = [at[x][at[x] >= 0] for x in lists]
+        if not len(features):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), len(lists)
+        at = [np.searchsorted(features, x) for x in lists]
+        kept = [i[features[i] == x] for i, x in ((np.minimum(i, len(features) - 1), x) for i, x in zip(at, lists))]
         return np.repeat(np.arange(len(kept)), [len(k) for k in kept]), np.concatenate(kept).astype(np.int64), len(kept)
 
     (pr, pf, n_p), (ur, uf, n_u) = rows(positive), rows(unlabelled)
@@ -98,7 +102,7 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
     for _ in range(60 if (1 / (1 + np.exp(-fu))).mean() > prior else 0):
         middle = (lower + upper) / 2
         lower, upper = (lower, middle) if (1 / (1 + np.exp(-np.clip(fu + middle, -35, 35)))).mean() > prior else (middle, upper)
-    return Model({int(f): float(w) for f, w in zip(chosen, theta)}, float(theta[-1]) + upper)
+    return Model({int(f): float(w) for f, w in zip(features, theta)}, float(theta[-1]) + upper)
 
 
 def _sample(docs: DataFrame, drawn: DataFrame, id_col: str, text_col: str, most: int) -> list[np.ndarray]:
