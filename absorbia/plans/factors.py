@@ -28,6 +28,8 @@ class Factors:
         by: dict[tuple[str, ...], list] = {}
         for term in self.terms:
             keys, slopes = tuple(sorted(c for k, c in term if k == "i")), tuple(c for k, c in term if k == "c")
+            if not keys and any(slopes[0] in [c for k, c in t if k == "c"] for t in self.terms if any(k == "i" for k, _ in t)):
+                continue  # the main effect of `##`: the slopes by level span it
             if not keys or len(slopes) > 1:
                 raise AbsorbiaError("specification.absorb", "an absorbed term needs factors and at most one continuous column", stage="specification")
             got = by.setdefault(keys, [False, []])

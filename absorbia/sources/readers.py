@@ -73,8 +73,8 @@ class _StataReader(DataSourceReader):
     def partitions(self):
         import pandas as pd
 
-        with pd.read_stata(self.path, iterator=True) as reader:
-            rows = reader._nobs
+        with pd.read_stata(self.path, chunksize=STATA_ROWS, columns=self.names[:1]) as reader:
+            rows = sum(len(frame) for frame in reader)
         return [InputPartition(start) for start in range(0, max(rows, 1), STATA_ROWS)]
 
     def read(self, partition):
