@@ -34,11 +34,10 @@ class Model:
     words: dict[str, np.ndarray]
     grams: dict[str, np.ndarray]
     memo: dict[str, int] = field(default_factory=dict)
-    rows: list[np.ndarray] = field(default_factory=list)
+    table: np.ndarray | None = None  # a row for each remembered piece
 
     def forget(self) -> None:
         self.memo.clear()
-        self.rows.clear()
 
     def word(self, word: str) -> np.ndarray:
         """Log frequency of a lower-cased word per language."""
@@ -52,24 +51,52 @@ class Model:
                 return np.mean(known, axis=0)
         return np.zeros(len(self.langs))
 
-    def piece(self, piece: str) -> np.ndarray:
-        words = LETTERS.findall(piece.lower())
-        out = np.zeros(len(self.langs) + 1, np.float32)
-        for w in words:
-            out[:-1] += self.word(w)
-        out[-1] = len(words)
-        return out
+    def _learn(self, new: list[str]) -> None:
+        """Append a row for each new piece: its words' log frequencies and their number."""
+        if self.table is None:
+            width = len(self.langs)
+            known = [*self.words.values(), *self.grams.values()]
+            self.values = np.array(known).reshape(-1, width)
+            self.word_at = {w: i for i, w in enumerate(self.words)}
+            self.gram_at = {g: i + len(self.words) for i, g in enumerate(self.grams)}
+            self.table = np.zeros((1024, width + 1), np.float32)
+        word_at, gram_at, find = self.word_at, self.gram_at, LETTERS.findall
+        rows, at, share, counts = [], [], [], []
+        for r, piece in enumerate(new):
+            words = find(piece.lower())
+            counts.append(len(words))
+            for w in words:
+                i = word_at.get(w)
+                if i is not None:
+                    rows.append(r)
+                    at.append(i)
+                    share.append(1.0)
+                    continue
+                padded = f" {w} "
+                for n in range(LONGEST, 0, -1):
+                    got = [i for k in range(len(padded) - n + 1) if (i := gram_at.get(padded[k : k + n])) is not None]
+                    if got:
+                        rows += [r] * len(got)
+                        at += got
+                        share += [1.0 / len(got)] * len(got)
+                        break
+        first = len(self.memo)
+        while first + len(new) > len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        rows, share = np.array(rows, np.int64), np.array(share)
+        values = self.values[np.array(at, np.int64)] if len(rows) else np.zeros((0, len(self.langs)))
+        for j in range(len(self.langs)):
+            self.table[first : first + len(new), j] = np.bincount(rows, values[:, j] * share, len(new))
+        self.table[first : first + len(new), -1] = counts
+        self.memo.update(zip(new, range(first, first + len(new))))
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         claim("langid", self.forget)
         if len(self.memo) > MEMO:
             self.forget()
-        memo, rows = self.memo, self.rows
         split = [(t or "").split() for t in texts]
-        for p in set().union(*split) - memo.keys():
-            memo[p] = len(rows)
-            rows.append(self.piece(p))
-        table = np.array(rows) if rows else np.zeros((0, len(self.langs) + 1))
+        self._learn(list(set().union(*split) - self.memo.keys()))
+        memo, table = self.memo, self.table
         langs, scores = [], []
         for p in split:
             total = table[np.fromiter(map(memo.__getitem__, p), np.int64, len(p))].sum(axis=0, dtype=np.float64)
