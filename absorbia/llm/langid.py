@@ -94,13 +94,15 @@ class Model:
         claim("langid", self.forget)
         if len(self.memo) > MEMO:
             self.forget()
+        if not self.langs:
+            return [UNKNOWN] * len(texts), [0.0] * len(texts)
         split = [(t or "").split() for t in texts]
         self._learn(list(set().union(*split) - self.memo.keys()))
         memo, table = self.memo, self.table
         langs, scores = [], []
         for p in split:
             total = table[np.fromiter(map(memo.__getitem__, p), np.int64, len(p))].sum(axis=0, dtype=np.float64)
-            if not self.langs or total[-1] == 0:
+            if total[-1] == 0:
                 langs.append(UNKNOWN)
                 scores.append(0.0)
                 continue
