@@ -84,7 +84,8 @@ class Result:
 def predict(result: Result, df: DataFrame, kind: str = "xb", unknown: str = "raise") -> DataFrame:
     """df with `prediction`: xb, fe (sum of effects), response (both, exponentiated for Poisson) or stdp.
 
-    Levels that were not in the sample raise, or give null with unknown="null".
+    Levels that were not in the sample, and levels of different components together (their sum is
+    not identified), raise, or give null with unknown="null".
     """
     from .effects import recover
 
@@ -104,12 +105,21 @@ def predict(result: Result, df: DataFrame, kind: str = "xb", unknown: str = "rai
         return df.withColumn("prediction", F.sqrt(total))
     if kind not in ("fe", "response"):
         raise AbsorbiaError("prediction.kind", f"unknown kind {kind!r}", stage="prediction")
-    out, fixed = df, F.lit(0.0)
-    for i, (t, table) in enumerate(recover(result)):
-        out = out.join(table.withColumnRenamed("effect", f"_e{i}").drop("weight"), list(t.keys), "left")
+    if any(t.slopes for t in result.terms):
+        raise AbsorbiaError("prediction.slopes", "effects of slope terms are not recovered", stage="prediction", suggestion="predict xb")
+    out, fixed, same = df, F.lit(0.0), F.lit(True)
+    tables = recover(result)
+    for i, (t, table) in enumerate(tables):
+        out = out.join(table.select(*t.keys, F.col("effect").alias(f"_e{i}"), F.col("component").alias(f"_c{i}")), list(t.keys), "left")
         fixed = fixed + F.col(f"_e{i}")
-    if unknown == "raise" and result.terms and not out.where(fixed.isNull()).isEmpty():
-        raise AbsorbiaError("prediction.unknown_level", "a level was not in the estimation sample", stage="prediction")
+        same = same & F.col("_c0").eqNullSafe(F.col(f"_c{i}"))
+    if unknown == "raise" and tables:
+        bad = out.agg(F.max(fixed.isNull()), F.max(fixed.isNotNull() & ~same)).first()
+        if bad[0]:
+            raise AbsorbiaError("prediction.unknown_level", "a level was not in the estimation sample", stage="prediction")
+        if bad[1]:
+            raise AbsorbiaError("prediction.combination", "levels of different components are combined", stage="prediction", suggestion='unknown="null"')
+    fixed = F.when(same, fixed)
     poisson = "poisson" in result.model
     value = fixed if kind == "fe" else (F.exp(xb + fixed) if poisson else xb + fixed)
-    return out.withColumn("prediction", value).drop(*[f"_e{i}" for i in range(len(result.terms))])
+    return out.withColumn("prediction", value).drop(*[f"_{x}{i}" for x in "ec" for i in range(len(tables))])

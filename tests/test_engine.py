@@ -189,7 +189,7 @@ def test_pruning_history(spark):
 
 def test_effects_and_prediction(df, data):
     got = ols(df, "y", ["x1"], ["a", "b"])
-    tables = recover(got)
+    tables = recover(got, "weighted_mean_zero")
     assert [t.name for t, _ in tables] == ["a", "b"]
     mean = tables[1][1].agg(F.sum(F.col("effect") * F.col("weight"))).first()[0]
     assert abs(mean) < 1e-8
@@ -201,6 +201,46 @@ def test_effects_and_prediction(df, data):
     assert got.linear_combination({"x1": 2.0})["estimate"] == pytest.approx(2 * got.beta[0])
 
 
+def test_effects_are_normalised_by_component(spark):
+    r = np.random.default_rng(3)
+    block = np.repeat([0, 1], 60)
+    a, b, x = r.integers(0, 4, 120) + 4 * block, r.integers(0, 3, 120) + 3 * block, r.standard_normal(120)
+    y = x + a * 0.7 - b * 1.3 + r.standard_normal(120)
+    df = spark.createDataFrame(pd.DataFrame({"a": a, "b": b, "x": x, "y": y}))
+    got = ols(df, "y", ["x"], ["a", "b"])
+    design = np.column_stack([a[:, None] == np.arange(8), b[:, None] == np.arange(6)]).astype(float)
+    solved = np.linalg.lstsq(np.column_stack([x, design]), y, rcond=None)[0]
+    fa, fb = solved[1:9], solved[9:]
+    for kind, centre in (("canonical", lambda g: fb[g].mean()), ("weighted_mean_zero", lambda g: fb[b[np.isin(b, g)]].mean()), ("reference", lambda g: fb[g[1]])):
+        wanted_a, wanted_b = fa.copy(), fb.copy()
+        for k in (0, 1):
+            g, c = np.arange(3 * k, 3 * k + 3), centre(np.arange(3 * k, 3 * k + 3))
+            wanted_b[g] -= c
+            wanted_a[4 * k : 4 * k + 4] += c
+        (_, ta), (_, tb) = recover(got, kind, references={"b": [1, 4]})
+        ta, tb = ta.toPandas().sort_values("a"), tb.toPandas().sort_values("b")
+        np.testing.assert_allclose(ta["effect"], wanted_a, atol=1e-7)
+        np.testing.assert_allclose(tb["effect"], wanted_b, atol=1e-7)
+        assert ta["component"].nunique() == 2 and ta.groupby(ta["a"] // 4)["component"].nunique().max() == 1
+    mixed = spark.createDataFrame([(0, 5, 1.0), (0, 1, 1.0)], "a long, b long, x double")
+    with pytest.raises(AbsorbiaError, match="prediction.combination"):
+        predict(got, mixed, "fe")
+    out = {r["b"]: r["prediction"] for r in predict(got, mixed, "fe", unknown="null").collect()}
+    assert out[5] is None and out[1] == pytest.approx(fa[0] + fb[1], abs=1e-7)
+    with pytest.raises(AbsorbiaError):
+        recover(got, "other")
+
+
+def test_unidentified_components_give_null(spark):
+    r = np.random.default_rng(4)
+    a = np.arange(80) % 4
+    extra = np.where(a < 2, 0, 1) * 10 + r.integers(0, 2, 80)  # groups of a and c move together
+    df = spark.createDataFrame(pd.DataFrame({"a": a, "b": r.integers(0, 3, 80), "c": extra, "x": r.standard_normal(80), "y": r.standard_normal(80)}))
+    got = ols(df, "y", ["x"], ["a", "b", "c"])
+    assert all(t.where("effect is not null").isEmpty() for _, t in recover(got, strict=True))
+    assert all(t.where("effect is null").isEmpty() for _, t in recover(got))
+
+
 def test_wild_bootstrap_is_exact_with_few_clusters(df):
     got = ols(df.withColumn("g", F.col("cl") % 6), "y", ["x1", "x2"], "a", cluster="g")
     small = resampling.wild_cluster_test(got, "g", "x2", value=-0.4)
