@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from statistics import NormalDist
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
@@ -83,15 +84,15 @@ def wild_cluster_test(result, cluster: str, term: str, value: float = 0.0, reps:
     return {"statistic": float(observed), "p_value": extreme / len(t) if exact else (1 + extreme) / (len(t) + 1), "draws": len(t), "exact": exact, "clusters": count}
 
 
-def draw_clusters(df: DataFrame, cluster: str, seed: int, name: str = "_draw") -> DataFrame:
+def draw_clusters(df: DataFrame, cluster: str, seed: int, name: str = "_draw", index: DataFrame | None = None) -> DataFrame:
     """Clusters drawn with replacement, each draw with an id of its own.
 
     Draws are numbered by a hash-ordered cluster index; a cluster's rows are copied as often as
-    its index is drawn.
+    its index is drawn. `index` (cluster, _c: codes from 0) spares numbering again for each draw.
     """
     from .levels import codes
 
-    index = codes(df, [cluster], "_c")
+    index = codes(df, [cluster], "_c") if index is None else index
     n = index.count()
     picks = df.sparkSession.range(n).select(F.col("id").alias(name), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(n)).alias("_c"))
     return df.join(index, cluster).join(picks, "_c").drop("_c")
@@ -110,30 +111,89 @@ def replicates(fit: Callable[[int], np.ndarray], reps: int, least: float = 0.95)
     return np.stack(out)
 
 
-def split_panel_jackknife(fit: Callable[[DataFrame], np.ndarray], df: DataFrame, kind: str = "A", unit: str | None = None, time: str | None = None, country: str | None = None, seed: int = 0) -> dict:
-    """Bias-corrected coefficients from fits on halves: A: 3b - t - u; B: 2b - c; C: 4b - 2c - 2t + x."""
-    def by_hash(column):
-        h = F.pmod(F.xxhash64(F.lit(seed), F.col(column)), F.lit(2))
-        return [df.where(h == i) for i in (0, 1)]
+def random_half(df: DataFrame, columns: list[str], seed: int, tries: int = 32):
+    """column -> half (0 or 1) of its value by a hash, alike for all columns; neither half is empty."""
+    for attempt in range(tries):
+        half = lambda c, a=attempt: F.pmod(F.xxhash64(F.lit(seed), F.lit(a), F.col(c)), F.lit(2))
+        seen = df.agg(*[f(half(c)) for c in columns for f in (F.min, F.max)]).first()
+        if set(seen) == {0, 1}:
+            return half
+    raise AbsorbiaError("resampling.split", "a split needs at least two units", stage="resampling")
 
-    def by_time(frame):
-        low, high = df.agg(F.min(time), F.max(time)).first()
-        mid = (low + high) // 2
-        return [frame.where(F.col(time) <= mid), frame.where(F.col(time) > mid)]
 
-    mean = lambda frames: np.mean([fit(f) for f in frames], axis=0)
-    b = np.asarray(fit(df))
+def split_panel_jackknife(fit: Callable[[DataFrame], np.ndarray], df: DataFrame, kind: str = "A", *, time: str | None = None, unit: str | None = None, exporter: str | None = None, importer: str | None = None, seed: int = 0, time_mid: float | None = None, shared_halves: bool = True) -> dict:
+    """Bias-corrected coefficients from fits on parts of a panel.
+
+    A: 3b - t - u, with the means over the halves of the time span (t) and of the units (u).
+    B: 2b - c, with the mean over the four pairs of a half of the exporters and one of the importers.
+    C: 4b - 2c - 2t + x, where x is the mean over those four in each half of the time span.
+    Exporters and importers are halved alike unless shared_halves is off.
+    """
+    needed = {"A": {"time": time, "unit": unit}, "B": {"exporter": exporter, "importer": importer}, "C": {"time": time, "exporter": exporter, "importer": importer}}.get(kind)
+    if needed is None:
+        raise AbsorbiaError("resampling.jackknife", f"unknown kind {kind!r}", stage="resampling")
+    if missing := [k for k, c in needed.items() if c not in df.columns]:
+        raise AbsorbiaError("resampling.panel_columns", f"no column for {', '.join(missing)}", stage="resampling")
+    mean = lambda masks: np.mean([np.asarray(fit(df.where(m)), float) for m in masks], axis=0)
+    late = []
+    if kind != "B":
+        if time_mid is None:
+            time_mid = middle_of(df, time)
+        late = [F.col(time) <= time_mid, F.col(time) > time_mid]
+    b = np.asarray(fit(df), float)
     if kind == "A":
-        t, u = mean(by_time(df)), mean(by_hash(unit))
-        return {"estimate": 3 * b - t - u, "full": b, "time": t, "unit": u}
-    c = mean(by_hash(country))
+        half = random_half(df, [unit], seed)
+        t, u = mean(late), mean([half(unit) == i for i in (0, 1)])
+        return {"estimate": 3 * b - t - u, "full": b, "time": t, "unit": u, "fits": 5}
+    if shared_halves:
+        export_half = import_half = random_half(df, [exporter, importer], seed)
+    else:
+        export_half, import_half = random_half(df, [exporter], 2 * seed), random_half(df, [importer], 2 * seed + 1)
+    quarters = [(export_half(exporter) == i) & (import_half(importer) == j) for i in (0, 1) for j in (0, 1)]
+    c = mean(quarters)
     if kind == "B":
-        return {"estimate": 2 * b - c, "full": b, "country": c}
-    if kind == "C":
-        t = mean(by_time(df))
-        x = mean([part for half in by_hash(country) for part in by_time(half)])
-        return {"estimate": 4 * b - 2 * c - 2 * t + x, "full": b, "country": c, "time": t, "cross": x}
-    raise AbsorbiaError("resampling.jackknife", f"unknown kind {kind!r}", stage="resampling")
+        return {"estimate": 2 * b - c, "full": b, "country": c, "fits": 5}
+    t, x = mean(late), mean([q & h for q in quarters for h in late])
+    return {"estimate": 4 * b - 2 * c - 2 * t + x, "full": b, "country": c, "time": t, "cross": x, "fits": 15}
+
+
+def middle_of(df: DataFrame, time: str) -> float:
+    """The last time of the first half of the span."""
+    low, high = df.agg(F.min(time), F.max(time)).first()
+    if low is None:
+        raise AbsorbiaError("resampling.split", "no times to split", stage="resampling")
+    return (low + high) // 2
+
+
+def jackknife_bootstrap(fit: Callable[[DataFrame], np.ndarray], df: DataFrame, kind: str = "A", *, time: str | None = None, unit: str | None = None, exporter: str | None = None, importer: str | None = None, pair: str | None = None, reps: int = 999, seed: int = 0, confidence: float = 0.95) -> dict:
+    """Cluster bootstrap of the split-panel jackknife: units are drawn for A, pairs for B and C.
+
+    The time split stays that of the whole panel. Draws that fail are skipped and counted. Gives the
+    point estimate, draws, their standard deviation, percentile bounds and the error these imply.
+    """
+    from .levels import codes
+
+    if reps < 2 or not 0 < confidence < 1:
+        raise AbsorbiaError("resampling.bootstrap", "at least two draws, and a confidence between 0 and 1", stage="resampling")
+    cluster = unit if kind == "A" else pair
+    if cluster not in df.columns:
+        raise AbsorbiaError("resampling.panel_columns", "no column of units or pairs to draw", stage="resampling")
+    panel = {"time": time, "unit": unit, "exporter": exporter, "importer": importer}
+    point = split_panel_jackknife(fit, df, kind, **panel, seed=seed)
+    middle = None if kind == "B" else middle_of(df, time)
+    index, draws = codes(df, [cluster], "_c"), []
+    salts = np.random.SeedSequence(seed).generate_state(reps, np.uint32).astype(int).tolist()
+    for salt in salts:
+        try:
+            got = split_panel_jackknife(fit, draw_clusters(df, cluster, salt, index=index).drop("_draw"), kind, **panel, seed=salt, time_mid=middle, shared_halves=False)["estimate"]
+        except (AbsorbiaError, np.linalg.LinAlgError):
+            continue
+        if got.shape == point["estimate"].shape and np.isfinite(got).all():
+            draws.append(got)
+    if len(draws) < 2:
+        raise AbsorbiaError("resampling.draws", f"{reps - len(draws)} of {reps} draws failed", stage="resampling")
+    low, high = np.quantile(draws, [(1 - confidence) / 2, (1 + confidence) / 2], axis=0)
+    return {"point": point, "draws": np.stack(draws), "std_error": np.std(draws, axis=0, ddof=1), "ci_low": low, "ci_high": high, "std_error_implied": (high - low) / (2 * NormalDist().inv_cdf((1 + confidence) / 2)), "completed": len(draws), "failed": reps - len(draws)}
 
 
 def cluster_diagnostics(df: DataFrame, clusters: list[str]) -> DataFrame:

@@ -250,6 +250,42 @@ def test_wild_bootstrap_is_exact_with_few_clusters(df):
     assert drawn.select("_draw").distinct().count() == 13
 
 
+def test_split_panel_jackknife_and_its_bootstrap(spark):
+    r = np.random.default_rng(8)
+    rows = pd.DataFrame([(e, i, 10 * e + i, t) for e in range(4) for i in range(4) if e != i for t in range(6)], columns=["exp", "imp", "pair", "year"])
+    rows["v"] = r.standard_normal(len(rows)) + rows["pair"] / 10
+    df = spark.createDataFrame(rows)
+
+    def fit(frame):
+        n, v, vv = frame.agg(F.count("v"), F.avg("v"), F.avg(F.col("v") * F.col("v"))).first()
+        if not n:
+            raise AbsorbiaError("empty", "no rows")
+        return np.array([v, vv - v * v])
+
+    value = lambda g: np.array([g["v"].mean(), g["v"].var(ddof=0)])
+    early = rows["year"] <= 2
+    unit_half = resampling.random_half(df, ["pair"], 5)
+    u = df.select("pair", unit_half("pair").alias("h")).distinct().toPandas().set_index("pair")["h"][rows["pair"]].to_numpy()
+    b, t = value(rows), (value(rows[early]) + value(rows[~early])) / 2
+    got = resampling.split_panel_jackknife(fit, df, "A", time="year", unit="pair", seed=5)
+    np.testing.assert_allclose(got["estimate"], 3 * b - t - (value(rows[u == 0]) + value(rows[u == 1])) / 2)
+    half = resampling.random_half(df, ["exp", "imp"], 5)
+    h = df.select("exp", half("exp").alias("h")).distinct().toPandas().set_index("exp")["h"]
+    e, m = h[rows["exp"]].to_numpy(), h[rows["imp"]].to_numpy()
+    assert set(e) == {0, 1}
+    quarters = [(e == i) & (m == j) for i in (0, 1) for j in (0, 1)]
+    if all(q.any() for q in quarters):
+        c, x = np.mean([value(rows[q]) for q in quarters], axis=0), np.mean([value(rows[q & k]) for q in quarters for k in (early, ~early)], axis=0)
+        np.testing.assert_allclose(resampling.split_panel_jackknife(fit, df, "B", exporter="exp", importer="imp", seed=5)["estimate"], 2 * b - c)
+        np.testing.assert_allclose(resampling.split_panel_jackknife(fit, df, "C", time="year", exporter="exp", importer="imp", seed=5)["estimate"], 4 * b - 2 * c - 2 * t + x)
+    boot = resampling.jackknife_bootstrap(fit, df, "A", time="year", unit="pair", reps=4, seed=1)
+    assert boot["draws"].shape == (4, 2) and boot["failed"] == 0 and (boot["std_error"] > 0).all() and (boot["ci_low"] <= boot["ci_high"]).all()
+    with pytest.raises(AbsorbiaError):
+        resampling.split_panel_jackknife(fit, df, "A", time="year", unit="nope")
+    with pytest.raises(AbsorbiaError):
+        resampling.random_half(df.where("pair = 1"), ["pair"], 0)
+
+
 def test_group_effects(spark):
     r = np.random.default_rng(5)
     rows, effect = [], r.standard_normal(12)
