@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from absorbia import reports
 from absorbia.errors import AbsorbiaError
 from absorbia.functions import dist, kernels
 from absorbia.operators import absorb, groups, levels, resampling, sample
@@ -347,3 +348,25 @@ def test_bad_input_raises(spark, df):
             ols(bad, "y", "x1", "a")
     with pytest.raises(AbsorbiaError):
         ppml(df.withColumn("count", F.lit(-1.0)), "count", "x1", "a")
+
+
+def test_reports_hold_no_data(df, tmp_path):
+    try:
+        ols(df, "y", ["secret_column"], "a")
+        raise AssertionError
+    except Exception as e:  # noqa: BLE001
+        error = e
+    got = ols(df, "y", ["x1"], "a")
+    payload = reports.error_payload(error, got, "crash", {"coefficient": 1e-3, "secret_column": 1.0})
+    text = reports.markdown("Error report", payload)
+    assert "secret_column" not in text and "x1" not in text and payload["result"]["n"] == 400 and payload["differences"] == {"coefficient": 1e-3}
+    plan = reports.plan_payload(df.groupBy("a").count())
+    assert plan["operators"].get("HashAggregate") == 2 and plan["operators"].get("Exchange") == 1 and "plan" not in plan
+    assert "HashAggregate" in reports.plan_payload(df.groupBy("a").count(), redact=False)["plan"]
+    path = str(tmp_path / "r.md")
+    assert reports.main(["error", path]) == 0 and open(path).read().startswith("# Error report")
+    assert reports.main(["nope"]) == 2
+    with pytest.raises(FileExistsError):
+        reports.main(["plan", path])
+    with pytest.raises(ValueError):
+        reports.error_payload(issue="none")
