@@ -63,11 +63,11 @@ class Coder:
     def _learn(self, new: list[str]) -> None:
         words, tokenize, letters, find, later = self.words, self.tokenizer.model.tokenize, self.letters, WORDS.findall, []
         for piece in new:
-            if max(piece) >= PLAIN or "<|" in piece and any(x in piece for x in self.special):
+            if not piece.isascii() and max(piece) >= PLAIN or "<|" in piece and any(x in piece for x in self.special):
                 later.append(piece)
                 continue
-            out = []
-            for w in find(piece.lower()):
+            out, low = [], piece.lower()
+            for w in (low,) if low.isalpha() else find(low):  # letters alone are one word
                 ids = words.get(w)
                 if ids is None:
                     ids = words[w] = array("I", [t.id for t in tokenize(w.encode().decode("latin-1").translate(letters))]).tobytes()
