@@ -14,15 +14,19 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import bounded_ids, claim, map_text, pieces
+from .common import claim, map_text, materialize, pieces
 
 #: Bounds of what is fitted: training documents, words and n-grams kept, longest n-gram.
 MAX_DOCS = 4_000
 MAX_WORDS = 25_000
 MAX_GRAMS = 30_000
 LONGEST = 5
+#: What each language keeps of its own, whatever its share: documents, words, n-grams.
+LANG_DOCS = 1_000
+LANG_WORDS = 10_000
+LANG_GRAMS = 10_000
 UNKNOWN = "und"
 MEMO = 600_000
 LETTERS = regex.compile(r"\p{L}+")
@@ -113,14 +117,20 @@ class Model:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = MAX_DOCS, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> Model:
-    """Learn from at most `max_docs` of the rows with text and language, the least by hashed id.
+    """Learn from the `max_docs` rows with a language and a letter of least hashed id, and from the
+    LANG_DOCS of each language.
 
-    Words are counted in Spark; the most frequent `max_words` (word, language) pairs come to the
-    driver, where n-grams are counted over them, weighted by the logarithm of their counts.
+    Words are counted in Spark; the most frequent `max_words` (word, language) pairs and the
+    LANG_WORDS of each language come to the driver, where n-grams are counted over them, weighted
+    by the logarithm of their counts. So every language with a word is learned.
     """
-    known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    ids = bounded_ids(known.select(id_col), id_col, max_docs).distinct()
-    sample = known.select(id_col, lang_col, text_col).join(F.broadcast(ids), id_col, "left_semi").select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
+    key = F.when(F.col(id_col).isNull(), F.xxhash64(text_col)).otherwise(F.xxhash64(F.lit(0), F.col(id_col)))
+    known = known.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), key.alias("key"))
+    keys = known.select("lang", "key")
+    own = keys.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("key"))).where(F.col("rank") <= LANG_DOCS)
+    drawn = keys.orderBy("key").limit(max_docs).select("key").unionByName(own.select("key")).distinct()
+    sample = known.join(F.broadcast(drawn), "key", "left_semi").select("lang", "text")
 
     def count(batches):
         total: Counter = Counter()
@@ -130,8 +140,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         keys = list(total)
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([total[k] for k in keys], pa.int64())], names=["lang", "word", "n"])
 
-    counted = sample.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    table = counted.orderBy(F.desc("n"), "lang", "word").limit(max_words).toArrow().to_pylist()
+    counted = materialize(sample.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
+    own = counted.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("rank") <= LANG_WORDS).drop("rank")
+    kept = counted.orderBy(F.desc("n"), "lang", "word").limit(max_words).unionByName(own).distinct()
+    table = kept.orderBy(F.desc("n"), "lang", "word").toArrow().to_pylist()
     return learn(table, max_grams)
 
 
@@ -148,7 +160,9 @@ def learn(table: list[dict], max_grams: int = MAX_GRAMS) -> Model:
                 if padded[i : i + n] != " ":
                     grams.setdefault(padded[i : i + n], np.zeros(len(langs)))[at[r["lang"]]] += weight
     if len(grams) > max_grams:
-        keep = sorted(grams, key=lambda g: (len(g) > 1, -grams[g].sum(), g))[:max_grams]
+        keep = dict.fromkeys(sorted(grams, key=lambda g: (len(g) > 1, -grams[g].sum(), g))[:max_grams])
+        for i in range(len(langs)):
+            keep |= dict.fromkeys(sorted((g for g, v in grams.items() if v[i]), key=lambda g: (len(g) > 1, -grams[g][i], g))[:LANG_GRAMS])
         grams = {g: grams[g] for g in keep}
     return Model(langs, _logs(words), _logs(grams))
 

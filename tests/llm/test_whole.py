@@ -2,8 +2,10 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from absorbia.llm import nearcopies, simhash
+from absorbia.llm import langid, nearcopies, simhash
 
 rng = random.Random(5)
 VOCABULARY = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8))) for _ in range(3000)]
@@ -63,3 +65,19 @@ def test_pipeline_drops_a_copy_beyond_three_bits(spark):
     texts = [" ".join(words), next(t for _ in range(200) if far(t := " ".join(edited(words, 6))))]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert [r["doc_id"] for r in corpus_pipeline.dedup_stage(spark, docs, "").collect()] == [0]
+
+
+def test_rare_languages_are_learned(spark):
+    common = ["".join(rng.choice("abcde") for _ in range(rng.randint(4, 9))) for _ in range(30_000)]
+    rare = ["".join(rng.choice("uvwxyz") for _ in range(rng.randint(4, 9))) for _ in range(40)]
+    rows = [(i, "aa", " ".join(rng.choice(common) for _ in range(20))) for i in range(5_000)] + [(5_000 + i, "zz", " ".join(rng.sample(rare, 10))) for i in range(6)]
+    docs = spark.createDataFrame([*rows, (None, "null_id", "κάτι άλλο εδώ")], "doc_id long, lang string, text string")
+    model = langid.fit(docs)
+    assert model.langs == ["aa", "null_id", "zz"]
+    assert model.predict([" ".join(rare[:8]), rows[0][2], "κάτι"])[0] == ["zz", "aa", "null_id"]
+
+
+def test_rare_languages_keep_words_and_grams():
+    table = [{"lang": "aa", "word": f"{a}{b}{c}", "n": 50} for a in "abcdef" for b in "abcdef" for c in "abcdef"]
+    model = langid.learn([*table, {"lang": "zz", "word": "xyz", "n": 1}], 20)
+    assert model.langs == ["aa", "zz"] and "xyz" in model.grams and model.predict(["xyzz"])[0] == ["zz"]
