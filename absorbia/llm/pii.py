@@ -20,8 +20,6 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import bounded_ids
-
 # Base patterns. Starts inside a run that cannot begin a match are skipped (the
 # look-behind; \G keeps the place where the match before ended), and what can match only one way
 # does not backtrack, so that very long runs take linear time.
@@ -41,8 +39,7 @@ GENERATORS = {
 GUARDS = {"secret": r"[A-Za-z0-9_+/=-]{16}", "number": r"[0-9](?:[\x20().-]?[0-9]){6}", "contact": r"[\[(]at[\])]"}
 SECRET_WORDS = r"(?i)(?:token|secret|passw(?:or)?d|api[_-]?key|key|bearer)[\"']?\s*(?:[=:]|is)?\s*[\"']?$"
 CONTACT_WORDS = r"(?i)(?:mail|contact|write|reach|tel|phone|call|fax)\W{0,3}(?:to|me|us|at)?\W{0,3}$"
-#: Bounds and settings of the fit.
-MAX_DOCS = 3_000
+#: Settings of the fit.
 TREES = 24
 RATE = 0.4
 PRECISION = 0.95
@@ -166,15 +163,14 @@ def margin_column(bits: Column, trees: list[tuple], start: float) -> Column:
     return out
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int = MAX_DOCS) -> tuple[list[tuple], float, float]:
-    """Boost on the candidates of at most `max_docs` documents, the least by hashed id."""
-    ids = bounded_ids(docs.select(id_col), id_col, max_docs).distinct()
+def fit(docs: DataFrame, text_col: str = "text") -> tuple[list[tuple], float, float]:
+    """Boost on the candidates of all documents, counted by feature set and label."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    sample = docs.select(F.col(id_col), F.col(text_col).alias("text")).join(F.broadcast(ids), id_col, "left_semi")
+    rows = docs.select(F.col(text_col).alias("text"))
     base = base_columns(text)
-    sample = sample.select("text", F.concat(*base.values()).alias("base")).select("base", *[c.alias(k) for k, c in _candidates(text).items()])
+    rows = rows.select("text", F.concat(*base.values()).alias("base")).select("base", *[c.alias(k) for k, c in _candidates(text).items()])
     marked = lambda k: lambda x: F.struct(_bits(k, x).alias("bits"), _weak_label(k, x, F.col("base")).alias("label"))
-    rows = sample.select(F.explode(F.concat(*[F.transform(F.col(k), marked(k)) for k in GENERATORS])).alias("r"))
+    rows = rows.select(F.explode(F.concat(*[F.transform(F.col(k), marked(k)) for k in GENERATORS])).alias("r"))
     counted = rows.groupBy("r.bits").agg(F.count_if(~F.col("r.label")).alias("n0"), F.count_if("r.label").alias("n1")).orderBy("bits").collect()
     return boost([(r["bits"], r["n0"], r["n1"]) for r in counted])
 
@@ -224,14 +220,14 @@ def redacted(text: Column, rows: Column) -> Column:
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, counts of the base kinds, base_sha256 and spans."""
-    marked = spans(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), fit(docs, id_col, text_col))
+    marked = spans(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), fit(docs, text_col))
     count = lambda i: F.size(F.filter(F.col("_base"), lambda x: x["k"] == i)).cast("long")
     return marked.select("doc_id", *[count(i).alias(f"n_{k}") for i, k in enumerate(KINDS)], F.sha2(joined(F.col("_base")), 256).alias("base_sha256"), joined(F.col("_spans")).alias("spans"))
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = "n_chars") -> DataFrame:
     """docs with the spans in their texts replaced; null texts stay null."""
-    marked = spans(docs, fit(docs, id_col, text_col), text_col)
+    marked = spans(docs, fit(docs, text_col), text_col)
     new = F.when(F.col(text_col).isNotNull(), redacted(F.col("_text"), F.col("_spans")))
     out = marked.withColumn(text_col, new)
     if size_col in docs.columns:

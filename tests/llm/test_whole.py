@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from absorbia.llm import langid, nearcopies, simhash
+from absorbia.llm import langid, nearcopies, pii, simhash
 
 rng = random.Random(5)
 VOCABULARY = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8))) for _ in range(3000)]
@@ -81,3 +81,12 @@ def test_rare_languages_keep_words_and_grams():
     table = [{"lang": "aa", "word": f"{a}{b}{c}", "n": 50} for a in "abcdef" for b in "abcdef" for c in "abcdef"]
     model = langid.learn([*table, {"lang": "zz", "word": "xyz", "n": 1}], 20)
     assert model.langs == ["aa", "zz"] and "xyz" in model.grams and model.predict(["xyzz"])[0] == ["zz"]
+
+
+def test_rare_personal_data_is_learned(spark):
+    ids = spark.range(6_000).orderBy(F.xxhash64(F.lit(0), "id"), "id").tail(40)
+    rare = {r["id"] for r in ids}
+    docs = spark.createDataFrame([(i, f"please write to bob{i} [at] example.org" if i in rare else "plain words only") for i in range(6_000)], "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in pii.find(docs).collect()}
+    assert all(got[i].startswith("contact:16:") for i in rare) and not any(got[i] for i in got.keys() - rare)
+    assert not any("[at]" in r["text"] for r in pii.redact(docs).collect())
