@@ -8,6 +8,7 @@ combinations is beyond what a driver holds, alternating projections run as joins
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -84,7 +85,10 @@ def term_bases(t: FixedEffect) -> list[str]:
 
 
 def solve(c: Cells, tolerance: float = TOLERANCE, most: int = MAX_ITERATIONS) -> Solution:
-    """Level effects of all variables at once, by conjugate gradients with block-diagonal scaling."""
+    """Level effects of all variables at once, by conjugate gradients with block-diagonal scaling.
+
+    Raises solver.not_converged where a variable is not within the tolerance after `most` iterations.
+    """
     sizes = [len(k) for k in c.keys]
     per = [term_bases(t) for t in c.terms]
     width = next(iter(c.cross.values())).shape[1]
@@ -126,7 +130,10 @@ def solve(c: Cells, tolerance: float = TOLERANCE, most: int = MAX_ITERATIONS) ->
         new = dot(r, z)
         beta = np.where(rz > 0, new / np.where(rz > 0, rz, 1), 0.0)
         p, rz = [a + beta * b for a, b in zip(z, p)], new
-    return Solution(c.terms, c.keys, x, it, float(np.sqrt(np.maximum(rz, 0) / start).max()))
+    error = float(np.sqrt(np.maximum(rz, 0) / start).max())
+    if not error <= tolerance:
+        raise AbsorbiaError("solver.not_converged", f"no convergence in {it} iterations", stage="absorb", iterations=it, error=error)
+    return Solution(c.terms, c.keys, x, it, error)
 
 
 def _sums(code: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
@@ -174,34 +181,40 @@ def residualize(df: DataFrame, terms: list[FixedEffect], variables: list[str], w
         return joined.withColumns({o: F.col(v).cast("double") - F.col(f"_mean{i}") for i, (o, v) in enumerate(zip(out, variables))}).drop(*[f"_mean{i}" for i in range(len(variables))]), None
     keys = list(dict.fromkeys(k for t in terms for k in t.keys))
     if df.select(*keys).distinct().limit(MAX_CELLS + 1).count() > MAX_CELLS:
-        return alternate(df, terms, variables, weight, suffix), None
+        return alternate(df, terms, variables, weight, suffix, tolerance), None
     s = solve(collect_cells(df, terms, {v: F.col(v).cast("double") for v in variables}, w), tolerance)
     fitted = [f"_fit{i}" for i in range(len(variables))]
     joined = join_effects(df, s, fitted)
     return joined.withColumns({o: F.col(v).cast("double") - F.col(f) for o, v, f in zip(out, variables, fitted)}).drop(*fitted), s
 
 
-def alternate(df: DataFrame, terms: list[FixedEffect], variables: list[str], weight: str | None = None, suffix: str = "_r", tolerance: float = 1e-8, sweeps: int = 500) -> DataFrame:
+def alternate(df: DataFrame, terms: list[FixedEffect], variables: list[str], weight: str | None = None, suffix: str = "_r", tolerance: float = TOLERANCE, sweeps: int = MAX_ITERATIONS) -> DataFrame:
     """Alternating projections, each a join of grouped means, in checkpoints of one sweep.
 
-    For intercept terms of any size: nothing of the size of the levels comes to the driver.
+    For intercept terms of any size: nothing of the size of the levels comes to the driver. The
+    largest mean a sweep takes out of a variable is held against the variable's own deviation (and
+    rounding); solver.not_converged is raised where it stays above the tolerance.
     """
     if any(t.slopes for t in terms):
         raise AbsorbiaError("absorb.cells", "slopes with this many combinations are not supported", stage="absorb")
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     out = [f"{v}{suffix}" for v in variables]
     frame = df.withColumns({o: F.col(v).cast("double") for o, v in zip(out, variables)})
+    values = [F.col(v).cast("double") for v in variables]
+    centre = df.agg(*[F.sum(w * v) / F.sum(w) for v in values]).first()
+    spread = df.agg(*[F.sqrt(F.sum(w * (v - F.lit(c)) ** 2) / F.sum(w)) for v, c in zip(values, centre)]).first() if all(c is not None for c in centre) else [0.0] * len(out)
+    bound = [tolerance * (s or 0.0) + 4 * np.finfo(float).eps * math.hypot(s or 0.0, c or 0.0) for s, c in zip(spread, centre)]
     for _ in range(sweeps):
         moved = []
         for t in terms:
             means = frame.groupBy(*t.keys).agg(*[(F.sum(w * F.col(o)) / F.sum(w)).alias(f"_m{i}") for i, o in enumerate(out)])
             means = _checkpoint(means)
-            moved.append(max(means.agg(*[F.max(F.abs(F.col(f"_m{i}"))) for i in range(len(out))]).first()))
+            moved.append([m or 0.0 for m in means.agg(*[F.max(F.abs(F.col(f"_m{i}"))) for i in range(len(out))]).first()])
             frame = frame.join(means, list(t.keys)).withColumns({o: F.col(o) - F.col(f"_m{i}") for i, o in enumerate(out)}).drop(*[f"_m{i}" for i in range(len(out))])
         frame = _checkpoint(frame)
-        if max(moved[1:] or moved) <= tolerance:
-            break
-    return frame
+        if all(m <= b for sweep in moved[1:] or moved for m, b in zip(sweep, bound)):
+            return frame
+    raise AbsorbiaError("solver.not_converged", f"no convergence in {sweeps} sweeps", stage="absorb", sweeps=sweeps)
 
 
 def certificate(df: DataFrame, terms: list[FixedEffect], column: str, weight: str | None = None) -> float:
