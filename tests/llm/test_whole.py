@@ -90,3 +90,11 @@ def test_rare_personal_data_is_learned(spark):
     got = {r["doc_id"]: r["spans"] for r in pii.find(docs).collect()}
     assert all(got[i].startswith("contact:16:") for i in rare) and not any(got[i] for i in got.keys() - rare)
     assert not any("[at]" in r["text"] for r in pii.redact(docs).collect())
+
+
+def test_pipeline_keeps_a_row_of_each_class_where_ids_repeat(spark):
+    a, b, c = (" ".join(prose(60)) for _ in range(3))
+    rows = [(1, a), (0, a), (1, b), (1, b), (2, b), (3, c), (3, a), (4, "x y"), (4, "y z"), (None, c)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = corpus_pipeline.dedup_stage(spark, docs, "").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(0, a), (1, b), (3, c), (4, "x y"), (4, "y z"), (None, c)], key=str)
