@@ -20,9 +20,9 @@ def test_small_scales_converge(panel, monkeypatch):
     terms = absorb_terms(["a", "b"])
     exact, _ = absorb.residualize(panel, terms, ["y"])
     monkeypatch.setattr(absorb, "MAX_CELLS", 3)
-    got, _ = absorb.residualize(panel, terms, ["small", "one"], tolerance=1e-6)
+    got, _ = absorb.residualize(panel, terms, ["small", "one"], tolerance=1e-3)
     both = exact.select("id", "y_r").join(got.select("id", "small_r", "one_r"), "id")
-    assert both.agg(F.max(F.abs(F.col("y_r") - 1e10 * F.col("small_r")))).first()[0] < 1e-4
+    assert both.agg(F.max(F.abs(F.col("y_r") - 1e10 * F.col("small_r")))).first()[0] < 1e-2
     assert both.agg(F.max(F.abs("one_r"))).first()[0] < 1e-12
 
 
