@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from absorbia.errors import AbsorbiaError
 from absorbia.plans.specs import FixedEffect
+from absorbia.sources.scratch import checkpoint
 
-from .levels import _checkpoint
 
 #: Combinations that the driver may hold, level effects that may be broadcast, stopping rule.
 MAX_CELLS = 3_000_000
@@ -208,10 +208,10 @@ def alternate(df: DataFrame, terms: list[FixedEffect], variables: list[str], wei
         moved = []
         for t in terms:
             means = frame.groupBy(*t.keys).agg(*[(F.sum(w * F.col(o)) / F.sum(w)).alias(f"_m{i}") for i, o in enumerate(out)])
-            means = _checkpoint(means)
+            means = checkpoint(means)
             moved.append([m or 0.0 for m in means.agg(*[F.max(F.abs(F.col(f"_m{i}"))) for i in range(len(out))]).first()])
             frame = frame.join(means, list(t.keys)).withColumns({o: F.col(o) - F.col(f"_m{i}") for i, o in enumerate(out)}).drop(*[f"_m{i}" for i in range(len(out))])
-        frame = _checkpoint(frame)
+        frame = checkpoint(frame)
         if all(m <= b for sweep in moved[1:] or moved for m, b in zip(sweep, bound)):
             return frame
     raise AbsorbiaError("solver.not_converged", f"no convergence in {sweeps} sweeps", stage="absorb", sweeps=sweeps)

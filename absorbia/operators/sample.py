@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .levels import _checkpoint
+from absorbia.sources.scratch import checkpoint
 
 
 def prune(df: DataFrame, terms: list, outcome: str | None = None, weights: str | None = None, singletons: bool = True) -> tuple[DataFrame, list[tuple[str, int]]]:
@@ -25,14 +25,14 @@ def prune(df: DataFrame, terms: list, outcome: str | None = None, weights: str |
             lone = (F.count(F.lit(1)) == 1) & (mass <= 1) if singletons and t.intercept else F.lit(False)
             zero = F.max(F.col(outcome)) <= 0 if outcome else F.lit(False)
             gone = frame.groupBy(*t.keys).agg(F.when(zero, "zero").when(lone, "singleton").alias("reason"), F.count(F.lit(1)).alias("n")).where(F.col("reason").isNotNull())
-            gone = _checkpoint(gone)
+            gone = checkpoint(gone)
             counts = {r["reason"]: r["n"] for r in gone.groupBy("reason").agg(F.sum("n").alias("n")).collect()}
             if counts:
                 changed = True
                 history += sorted(counts.items())
                 frame = frame.join(gone.select(*t.keys), list(t.keys), "left_anti")
         if changed:
-            frame = _checkpoint(frame)
+            frame = checkpoint(frame)
     return frame, history
 
 
