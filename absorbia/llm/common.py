@@ -2,35 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-_own_dir: str | None = None
-_owner: tuple[str, Callable[[], None]] | None = None
-
-
-def scratch(spark: SparkSession) -> str:
-    """The folder all executors share; a local one only where the session names none (tests)."""
-    global _own_dir
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if _own_dir is None:
-        _own_dir = "file://" + tempfile.mkdtemp(prefix="absorbia-")
-    return _own_dir
+from absorbia.sources.scratch import discard, materialize
 
+__all__ = ["bounded_ids", "claim", "crc_of_id", "discard", "documents", "fresh", "map_text", "materialize", "one_row_an_id", "pieces"]
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back, which cuts its lineage."""
-    spark = df.sparkSession
-    path = f"{scratch(spark)}/absorbia/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+_owner: tuple[str, Callable[[], None]] | None = None
 
 
 def claim(name: str, clear: Callable[[], None]) -> None:
@@ -41,6 +23,17 @@ def claim(name: str, clear: Callable[[], None]) -> None:
     _owner = (name, clear)
 
 
+def fresh(df: DataFrame, *names: str) -> tuple[str, ...]:
+    """Names like those given that no column of df has, whatever the case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return tuple(out)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -95,6 +88,15 @@ def map_text(df: DataFrame, text_col: str, fields: list[tuple[str, str]], functi
     return source.mapInArrow(run, out)
 
 
+def one_row_an_id(df: DataFrame, id_col: str) -> DataFrame:
+    """Of the rows of an id the least by all its other columns, in their order.
+
+    Partial minima come before the shuffle, so an id of very many rows weighs on no task.
+    """
+    rest = [c for c in df.columns if c != id_col]
+    return df.groupBy(id_col).agg(F.min(F.struct(*rest)).alias("_r")).select(id_col, "_r.*")
+
+
 def bounded_ids(df: DataFrame, id_col: str, most: int, seed: int = 0) -> DataFrame:
     """At most `most` rows of df: those whose hashed id is smallest. Ties by id."""
     return df.orderBy(F.xxhash64(F.lit(seed), F.col(id_col)), F.col(id_col)).limit(most)

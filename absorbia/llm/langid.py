@@ -1,14 +1,22 @@
 """Language identification by words first, shorter and shorter character n-grams after.
 
 A known word scores its log frequency in each language. An unseen word scores the mean log
-frequency of its longest character n-grams that are known. Null texts and texts without a letter
-are `und` with score 0; so is every text where nothing was learned. Of equally likely languages
-the alphabetically first is taken. Repeated rows each give a row; an empty table gives none.
+frequency of its longest character n-grams that are known. All words of the documents learned
+from, and all n-grams of these words, are known.
+
+Null texts and texts without a letter are `und` with score 0; so is every text where nothing was
+learned. Of equally likely languages the alphabetically first is taken. Repeated rows each give a
+row; an empty table gives none. Texts of any length are read whole, in batches of bounded bytes.
+Rows to learn from that share id and language count once, the one of least text hash; rows
+without an id by their texts. Columns of the table that have the names of the new ones are
+replaced by them.
 """
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -16,79 +24,65 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import claim, map_text, materialize, pieces
+from .common import claim, map_text, one_row_an_id, pieces
 
-#: Bounds of what is fitted: training documents, words and n-grams kept, longest n-gram.
+#: Bounds of what is fitted: labelled documents in all, and besides of each language; longest n-gram.
 MAX_DOCS = 4_000
-MAX_WORDS = 25_000
-MAX_GRAMS = 30_000
-LONGEST = 5
-#: What each language keeps of its own, whatever its share: documents, words, n-grams.
 LANG_DOCS = 1_000
-LANG_WORDS = 10_000
-LANG_GRAMS = 10_000
+LONGEST = 5
 UNKNOWN = "und"
-MEMO = 600_000
+MEMO = 500_000
 LETTERS = regex.compile(r"\p{L}+")
 
 
 @dataclass
 class Model:
     langs: list[str]
-    words: dict[str, np.ndarray]
-    grams: dict[str, np.ndarray]
+    words: list[str]
+    grams: list[str]
+    values: np.ndarray  # log frequencies by language, of the words and then of the n-grams
     memo: dict[str, int] = field(default_factory=dict)
     table: np.ndarray | None = None  # a row for each remembered piece
 
+    def __post_init__(self) -> None:
+        self.word_at = {w: i for i, w in enumerate(self.words)}
+        self.gram_at = {g: i + len(self.words) for i, g in enumerate(self.grams)}
+        self.table = np.zeros((1024, len(self.langs) + 1), np.float32)
+
+    def __reduce__(self):  # the tables are built again where the model arrives
+        return Model, (self.langs, self.words, self.grams, self.values)
+
     def forget(self) -> None:
         self.memo.clear()
 
-    def word(self, word: str) -> np.ndarray:
-        """Log frequency of a lower-cased word per language."""
-        found = self.words.get(word)
-        if found is not None:
-            return found
-        padded = f" {word} "
-        for n in range(LONGEST, 0, -1):
-            known = [v for i in range(len(padded) - n + 1) if (v := self.grams.get(padded[i : i + n])) is not None]
-            if known:
-                return np.mean(known, axis=0)
-        return np.zeros(len(self.langs))
+    def word(self, word: str) -> tuple[list[int], float]:
+        """(rows of `values` that score a lower-cased word, the share of each)."""
+        i = self.word_at.get(word)
+        if i is not None:
+            return [i], 1.0
+        padded, gram_at = f" {word} ", self.gram_at
+        for n in range(min(LONGEST, len(padded)), 0, -1):
+            got = [i for k in range(len(padded) - n + 1) if (i := gram_at.get(padded[k : k + n])) is not None]
+            if got:
+                return got, 1.0 / len(got)
+        return [], 0.0
 
     def _learn(self, new: list[str]) -> None:
         """Append a row for each new piece: its words' log frequencies and their number."""
-        if self.table is None:
-            width = len(self.langs)
-            known = [*self.words.values(), *self.grams.values()]
-            self.values = np.array(known).reshape(-1, width)
-            self.word_at = {w: i for i, w in enumerate(self.words)}
-            self.gram_at = {g: i + len(self.words) for i, g in enumerate(self.grams)}
-            self.table = np.zeros((1024, width + 1), np.float32)
-        word_at, gram_at, find = self.word_at, self.gram_at, LETTERS.findall
         rows, at, share, counts = [], [], [], []
         for r, piece in enumerate(new):
-            words = find(piece.lower())
+            words = LETTERS.findall(piece.lower())
             counts.append(len(words))
             for w in words:
-                i = word_at.get(w)
-                if i is not None:
-                    rows.append(r)
-                    at.append(i)
-                    share.append(1.0)
-                    continue
-                padded = f" {w} "
-                for n in range(LONGEST, 0, -1):
-                    got = [i for k in range(len(padded) - n + 1) if (i := gram_at.get(padded[k : k + n])) is not None]
-                    if got:
-                        rows += [r] * len(got)
-                        at += got
-                        share += [1.0 / len(got)] * len(got)
-                        break
+                got, each = self.word(w)
+                rows += [r] * len(got)
+                at += got
+                share += [each] * len(got)
         first = len(self.memo)
         while first + len(new) > len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
         rows, share = np.array(rows, np.int64), np.array(share)
-        values = self.values[np.array(at, np.int64)] if len(rows) else np.zeros((0, len(self.langs)))
+        values = self.values[np.array(at, np.int64)]
         for j in range(len(self.langs)):
             self.table[first : first + len(new), j] = np.bincount(rows, values[:, j] * share, len(new))
         self.table[first : first + len(new), -1] = counts
@@ -116,21 +110,20 @@ class Model:
         return langs, scores
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = MAX_DOCS, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> Model:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = MAX_DOCS, lang_docs: int = LANG_DOCS) -> Model:
     """Learn from the `max_docs` rows with a language and a letter of least hashed id, and from the
-    LANG_DOCS of each language.
+    `lang_docs` of each language, so that every language with a word is learned.
 
-    Words are counted in Spark; the most frequent `max_words` (word, language) pairs and the
-    LANG_WORDS of each language come to the driver, where n-grams are counted over them, weighted
-    by the logarithm of their counts. So every language with a word is learned.
+    Words are counted in Spark; their n-grams are counted on the driver.
     """
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    key = F.when(F.col(id_col).isNull(), F.xxhash64(text_col)).otherwise(F.xxhash64(F.lit(0), F.col(id_col)))
+    key = F.when(F.col(id_col).isNull(), F.xxhash64(F.lit(1), lang_col, text_col)).otherwise(F.xxhash64(F.lit(0), lang_col, id_col))
     known = known.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), key.alias("key"))
-    keys = known.select("lang", "key")
-    own = keys.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("key"))).where(F.col("rank") <= LANG_DOCS)
+    keys = known.select("lang", "key").distinct()
+    own = keys.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("key"))).where(F.col("rank") <= lang_docs)
     drawn = keys.orderBy("key").limit(max_docs).select("key").unionByName(own.select("key")).distinct()
-    sample = known.join(F.broadcast(drawn), "key", "left_semi").select("lang", "text")
+    found = known.join(F.broadcast(drawn), "key", "left_semi")
+    sample = one_row_an_id(found.select("key", F.xxhash64("text").alias("h"), "lang", "text"), "key").select("lang", "text")
 
     def count(batches):
         total: Counter = Counter()
@@ -140,38 +133,31 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         keys = list(total)
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([total[k] for k in keys], pa.int64())], names=["lang", "word", "n"])
 
-    counted = materialize(sample.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
-    own = counted.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("rank") <= LANG_WORDS).drop("rank")
-    kept = counted.orderBy(F.desc("n"), "lang", "word").limit(max_words).unionByName(own).distinct()
-    table = kept.orderBy(F.desc("n"), "lang", "word").toArrow().to_pylist()
-    return learn(table, max_grams)
-
-
-def learn(table: list[dict], max_grams: int = MAX_GRAMS) -> Model:
-    langs = sorted({r["lang"] for r in table})
-    at = {lang: i for i, lang in enumerate(langs)}
-    words: dict[str, np.ndarray] = {}
-    grams: dict[str, np.ndarray] = {}
-    for r in table:
-        words.setdefault(r["word"], np.zeros(len(langs)))[at[r["lang"]]] += r["n"]
-        padded, weight = f" {r['word']} ", 1 + np.log(r["n"])
-        for n in range(1, LONGEST + 1):
-            for i in range(len(padded) - n + 1):
-                if padded[i : i + n] != " ":
-                    grams.setdefault(padded[i : i + n], np.zeros(len(langs)))[at[r["lang"]]] += weight
-    if len(grams) > max_grams:
-        keep = dict.fromkeys(sorted(grams, key=lambda g: (len(g) > 1, -grams[g].sum(), g))[:max_grams])
-        for i in range(len(langs)):
-            keep |= dict.fromkeys(sorted((g for g, v in grams.items() if v[i]), key=lambda g: (len(g) > 1, -grams[g][i], g))[:LANG_GRAMS])
-        grams = {g: grams[g] for g in keep}
-    return Model(langs, _logs(words), _logs(grams))
-
-
-def _logs(counts: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    if not counts:
-        return {}
-    total = np.sum(list(counts.values()), axis=0)
-    return {k: np.log((v + 0.5) / (total + 0.5 * len(counts))) for k, v in counts.items()}
+    counted = sample.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow()
+    return learn(*(counted[c].to_pylist() for c in ("lang", "word", "n")))
+
+
+def learn(lang: Sequence[str], word: Sequence[str], n: Sequence[int]) -> Model:
+    """A model from the number of times that words occur in languages."""
+    langs, words = sorted(set(lang)), sorted(set(word))
+    lang_at, word_at = ({x: i for i, x in enumerate(xs)} for xs in (langs, words))
+    counts = np.zeros((len(words), len(langs)))
+    np.add.at(counts, ([word_at[w] for w in word], [lang_at[x] for x in lang]), n)
+    weights = np.where(counts > 0, 1 + np.log(np.maximum(counts, 1)), 0.0)
+    gram_at: dict[str, int] = {}
+    gram, of = array("i"), array("i")
+    for k, w in enumerate(words):
+        padded = f" {w} "
+        made = [gram_at.setdefault(padded[i : i + m], len(gram_at)) for m in range(1, LONGEST + 1) for i in range(m == 1, len(padded) - m + 1 - (m == 1))]
+        gram.extend(made)
+        of.extend([k] * len(made))
+    gram, of = np.frombuffer(gram, np.int32) if gram else np.zeros(0, np.int32), np.frombuffer(of, np.int32) if of else np.zeros(0, np.int32)
+    heavy = np.stack([np.bincount(gram, weights[of, j], len(gram_at)) for j in range(len(langs))], axis=1) if langs else np.zeros((0, 0))
+    return Model(langs, words, list(gram_at), np.concatenate([_logs(counts), _logs(heavy)]).astype(np.float32))
+
+
+def _logs(counts: np.ndarray) -> np.ndarray:
+    return np.log((counts + 0.5) / (counts.sum(axis=0) + 0.5 * len(counts))) if len(counts) else counts
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:

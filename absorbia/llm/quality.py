@@ -17,7 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from .common import bounded_ids, map_text
+from .common import bounded_ids, map_text, one_row_an_id
 from .features import features, indicators
 
 #: Bounds of what is fitted: labelled rows, hashed features, least rows a feature is in.
@@ -129,7 +129,7 @@ def sample_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str,
     labels: (id, label), ids distinct. The ids drawn are few enough to broadcast.
     """
     drawn = bounded_ids(labels.select(id_col, "label"), id_col, most)
-    found = docs.select(id_col, text_col).join(F.broadcast(drawn), id_col).select(F.xxhash64(F.lit(0), F.col(id_col)).alias("h"), F.col(text_col).alias("text"), "label")
+    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(drawn.withColumnRenamed(id_col, "id")), "id").withColumn("h", F.xxhash64("text"))
 
     def start():
         def apply(texts):
@@ -138,15 +138,18 @@ def sample_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str,
 
         return apply
 
-    got = map_text(found, "text", [("feature", "array<int>")], start, ["h", "label"]).limit(2 * most).toArrow()
-    order = np.lexsort((got["label"].to_numpy(), got["h"].to_numpy()))
+    rows = one_row_an_id(map_text(found, "text", [("feature", "array<int>")], start, ["id", "h", "label"]), "id")
+    got = rows.select(F.xxhash64(F.lit(0), "id").alias("order"), "feature", "label").toArrow()
+    if not got.num_rows:
+        return Rows.of([]), np.zeros(0, np.int32)
     lists = got["feature"].combine_chunks()
-    rows = Rows(lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py(), lists.flatten().to_numpy()) if got.num_rows else Rows.of([])
+    rows = Rows(lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py(), lists.flatten().to_numpy())
+    order = np.lexsort((got["label"].to_numpy(), got["order"].to_numpy()))
     return rows.take(order), got["label"].to_numpy()[order]
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text", bits: int = BITS, kinds: tuple[str, ...] = KINDS, threshold: float = THRESHOLD, keep: list[str] | None = None) -> DataFrame:
-    """Add score (0 to 1) and predicted (1 at or above the threshold)."""
+def score(docs: DataFrame, model: Model, text_col: str = "text", bits: int = BITS, kinds: tuple[str, ...] = KINDS, threshold: float = THRESHOLD, keep: list[str] | None = None, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """Add score (0 to 1) and predicted (1 at or above the threshold), under `names`."""
     shared = docs.sparkSession.sparkContext.broadcast((model, threshold))
 
     def start():
@@ -161,11 +164,11 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", bits: int = BIT
 
         return apply
 
-    return map_text(docs, text_col, [("score", "double"), ("predicted", "int")], start, keep)
+    return map_text(docs, text_col, [(names[0], "double"), (names[1], "int")], start, keep)
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = MAX_ROWS, threshold: float = THRESHOLD, keep: list[str] | None = None) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = MAX_ROWS, threshold: float = THRESHOLD, keep: list[str] | None = None, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
     """Fit on the labelled rows given and score all of docs."""
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("label"))
     model = fit(*sample_rows(docs, known, id_col, text_col, max_rows, BITS, KINDS))
-    return score(docs, model, text_col, threshold=threshold, keep=keep)
+    return score(docs, model, text_col, threshold=threshold, keep=keep, names=names)

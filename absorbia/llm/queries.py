@@ -64,8 +64,7 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _ids_and_texts(spark, sf_dir)
-    labels = _labels(spark, sf_dir).where(~held_out(5, 0))
-    return toxicity.classify(docs, labels, docs.where(~held_out(5, 0)), keep=["doc_id"]).select("doc_id", held_out(5, 0).alias("held_out"), "score", "predicted")
+    return toxicity.classify(docs, _labels(spark, sf_dir).where(~held_out(5, 0)), keep=["doc_id"]).select("doc_id", held_out(5, 0).alias("held_out"), "score", "predicted")
 
 
 def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

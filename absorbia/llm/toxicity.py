@@ -4,11 +4,18 @@ A linear model over word and word-prefix indicators is trained in numpy from con
 texts and unlabelled ones. Its risk is the class prior's share of the positive loss plus the
 unlabelled negative loss corrected for the positives among the unlabelled; that part, which
 cannot be negative in truth, counts as zero where its estimate falls below, which keeps the model
-from fitting the unlabelled rows away. Fitting uses bounded samples, scoring all rows.
+from fitting the unlabelled rows away. Features are those whose share differs between the two
+samples by LEAST_Z standard errors, however many.
+
+The unlabelled texts are a bounded sample of the labelled rows with their labels hidden, so that
+the class prior, the share of toxic rows among the labelled ones in the table, is that of the
+population they come from. Scoring covers all rows.
 
 Null and empty texts have no feature and get the score of the bias. Without confirmed positives
 every score is 0. Rows with several labels count as toxic if one says so. Repeated rows each give
-a row; an empty table gives none.
+a row; an empty table gives none. Texts of any length are read whole, in batches of bounded bytes.
+An id that stands at several texts is learned from the one of least hash. Columns of the table
+that have the names of the new ones are replaced by them; `names` gives the new ones other names.
 """
 
 from __future__ import annotations
@@ -19,13 +26,13 @@ from zlib import crc32
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from .common import bounded_ids, claim, map_text
+from .common import bounded_ids, claim, discard, map_text, materialize, one_row_an_id
 
-#: Bounds of what is fitted: confirmed texts, unlabelled texts, features.
+#: Bounds of what is fitted: labelled rows drawn as confirmed texts and, labels hidden, as unlabelled ones.
 MAX_POSITIVE = 2_000
 MAX_UNLABELLED = 4_000
-MAX_FEATURES = 2_048
 PREFIXES = (4, 5, 6)
+#: Features are in at least so many rows drawn, and differ by so many standard errors.
 LEAST_ROWS = 4
 LEAST_Z = 4.0
 THRESHOLD = 0.5
@@ -71,8 +78,7 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
     share = (p + u + 1.0) / (len(positive) + len(unlabelled) + 2.0)
     z = (p / len(positive) - u / len(unlabelled)) / np.sqrt(share * (1 - np.minimum(share, 0.999)) * (1 / len(positive) + 1 / len(unlabelled)))
     z[p + u < LEAST_ROWS] = 0
-    chosen = np.argsort(-np.abs(z), kind="stable")[:MAX_FEATURES]
-    chosen = np.sort(chosen[np.abs(z[chosen]) >= LEAST_Z])
+    chosen = np.flatnonzero(np.abs(z) >= LEAST_Z)
     features = features[chosen]
 
     def rows(lists):
@@ -97,46 +103,41 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
         g[:-1] += ridge * theta[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         theta -= 0.03 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    # the unlabelled rows hold the prior's share of positives: a larger mean score lowers the bias
-    lower, upper = -35.0, 0.0
-    for _ in range(60 if (1 / (1 + np.exp(-fu))).mean() > prior else 0):
-        middle = (lower + upper) / 2
-        lower, upper = (lower, middle) if (1 / (1 + np.exp(-np.clip(fu + middle, -35, 35)))).mean() > prior else (middle, upper)
-    return Model({int(f): float(w) for f, w in zip(features, theta)}, float(theta[-1]) + upper)
+    return Model({int(f): float(w) for f, w in zip(features, theta)}, float(theta[-1]))
+
 
+def _sample(docs: DataFrame, drawn: DataFrame, id_col: str, text_col: str) -> list[np.ndarray]:
+    """The distinct features of the drawn ids' texts, in the order of their hashed ids."""
 
-def _sample(docs: DataFrame, drawn: DataFrame, id_col: str, text_col: str, most: int) -> list[np.ndarray]:
     def start():
         def apply(texts):
             return [[sorted({f for p in set((t or "").split()) for f in piece_features(p)}) for t in texts]]
 
         return apply
 
-    found = docs.select(id_col, text_col).join(F.broadcast(drawn.select(id_col).distinct()), id_col, "left_semi").select(F.xxhash64(F.lit(0), F.col(id_col)).alias("h"), F.col(text_col).alias("text"))
-    got = map_text(found, "text", [("feature", "array<int>")], start, ["h"]).limit(2 * most).toArrow()
+    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(drawn), "id", "left_semi").withColumn("h", F.xxhash64("text"))
+    got = one_row_an_id(map_text(found, "text", [("feature", "array<int>")], start, ["id", "h"]), "id").select(F.xxhash64(F.lit(0), "id").alias("order"), "feature").toArrow()
     if not got.num_rows:
         return []
     lists = got["feature"].combine_chunks()
     parts = np.split(lists.flatten().to_numpy(), lists.offsets.to_numpy()[1:-1] - lists.offsets[0].as_py())
-    return [parts[i] for i in np.argsort(got["h"].to_numpy(), kind="stable")]
+    return [parts[i] for i in np.argsort(got["order"].to_numpy(), kind="stable")]
 
 
-def fit(docs: DataFrame, labels: DataFrame, unlabelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> Model:
-    """labels: those to learn from; only its positives and its share of positives (the prior) are used.
-
-    unlabelled: ids of the rows from which unlabelled texts are drawn.
-    """
-    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("label"))
-    prior = known.agg(F.avg("label")).first()[0]
-    if not prior:
-        return Model({}, -35.0)
-    positive = _sample(docs, bounded_ids(known.where("label > 0"), id_col, max_positive), id_col, text_col, max_positive)
-    rest = _sample(docs, bounded_ids(unlabelled.select(id_col), id_col, max_unlabelled, seed=1), id_col, text_col, max_unlabelled)
-    return train(positive, rest, min(max(prior, 0.001), 0.9))
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> Model:
+    """labels: those to learn from. Rows of docs without a label are not used."""
+    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("label"))
+    present = materialize(known.join(docs.select(F.col(id_col).alias("id")), "id", "left_semi"), "labelled")
+    prior = present.agg(F.avg("label")).first()[0]
+    if prior:
+        positive = _sample(docs, bounded_ids(present.where("label > 0").select("id"), "id", max_positive), id_col, text_col)
+        rest = _sample(docs, bounded_ids(present.select("id"), "id", max_unlabelled, seed=1), id_col, text_col)
+    discard(present)
+    return train(positive, rest, min(max(prior, 0.001), 0.9)) if prior else Model({}, -35.0)
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD, keep: list[str] | None = None) -> DataFrame:
-    """Add score (0 to 1) and predicted (1 at or above the threshold)."""
+def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD, keep: list[str] | None = None, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """Add score (0 to 1) and predicted (1 at or above the threshold), under `names`."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a worker keeps it, and its memory, from task to task
 
     def start():
@@ -148,9 +149,9 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: floa
 
         return apply
 
-    return map_text(docs, text_col, [("score", "double"), ("predicted", "int")], start, keep)
+    return map_text(docs, text_col, [(names[0], "double"), (names[1], "int")], start, keep)
 
 
-def classify(docs: DataFrame, labels: DataFrame, unlabelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Fit on the rows given and score all of docs."""
-    return score(docs, fit(docs, labels, unlabelled, id_col, text_col), text_col, keep=keep)
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, keep: list[str] | None = None, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """Fit on the labelled rows given and score all of docs."""
+    return score(docs, fit(docs, labels, id_col, text_col), text_col, threshold, keep, names)

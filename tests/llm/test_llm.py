@@ -330,11 +330,11 @@ def test_toxicity_learns(spark):
     texts = PROSE * 4 + toxic
     docs = table(spark, texts + ODD)
     labels = spark.createDataFrame([(i, 1, int(i >= 240)) for i in range(300) if i % 3], "doc_id long, quality int, toxic int")
-    out = {r["doc_id"]: r for r in toxicity.classify(docs, labels, docs.where("doc_id % 3 <> 0")).collect()}
+    out = {r["doc_id"]: r for r in toxicity.classify(docs, labels).collect()}
     assert len(out) == docs.count() and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in out.values())
     held = [i for i in range(300) if i % 3 == 0]
     assert np.mean([out[i]["predicted"] == (i >= 240) for i in held]) > 0.97
-    assert {r["predicted"] for r in toxicity.classify(docs, labels.where("toxic = 0"), docs).collect()} == {0}
+    assert {r["predicted"] for r in toxicity.classify(docs, labels.where("toxic = 0")).collect()} == {0}
 
 
 def test_language(spark):
@@ -349,9 +349,41 @@ def test_language(spark):
     assert {r["lang_pred"] for r in langid.identify(new, langid.fit(docs.limit(0))).collect()} == {"und"}
 
 
-def test_word_backoff():
-    model = langid.learn([{"lang": "a", "word": "xyz", "n": 5}, {"lang": "b", "word": "xyq", "n": 5}])
-    assert model.word("xyzzy").argmax() == 0 and model.word("wxyq").argmax() == 1 and model.word("ж").tolist() == [0, 0]
+def plain_log_odds(rows, word):
+    """Log frequencies of a word by language, by the rule itself: the word, else its longest known n-grams."""
+    langs = sorted({r[0] for r in rows})
+    words, grams = {}, {}
+    for lang, w, n in rows:
+        words.setdefault(w, [0.0] * len(langs))[langs.index(lang)] += n
+        padded = f" {w} "
+        for m in range(1, 6):
+            for i in range(len(padded) - m + 1):
+                if padded[i : i + m] != " ":
+                    grams.setdefault(padded[i : i + m], [0.0] * len(langs))[langs.index(lang)] += 1 + np.log(n)
+    log = lambda table, key: np.array([np.log((table[key][j] + 0.5) / (sum(v[j] for v in table.values()) + 0.5 * len(table))) for j in range(len(langs))])
+    if word in words:
+        return log(words, word)
+    padded = f" {word} "
+    for m in range(5, 0, -1):
+        got = [padded[i : i + m] for i in range(len(padded) - m + 1) if padded[i : i + m] in grams]
+        if got:
+            return np.mean([log(grams, g) for g in got], axis=0)
+    return np.zeros(len(langs))
+
+
+def test_language_scores_follow_the_rule():
+    r = random.Random(8)
+    rows = [(lang, "".join(r.choice(letters) for _ in range(r.randint(1, 6))), r.randint(1, 9)) for lang, letters in (("aa", "abcd"), ("bb", "cdef"), ("cc", "efgh")) for _ in range(40)]
+    rows = [(*k, sum(x[2] for x in rows if x[:2] == k)) for k in {x[:2] for x in rows}]
+    model = langid.learn(*zip(*rows))
+    texts = [" ".join("".join(r.choice("abcdefghz") for _ in range(r.randint(1, 7))) for _ in range(r.randint(1, 9))) for _ in range(60)] + [rows[0][1] + "; " + rows[1][1].upper() + "9ж"]
+    langs, scores = model.predict(texts)
+    import regex
+
+    for text, lang, score in zip(texts, langs, scores):
+        total = sum(plain_log_odds(rows, w) for w in regex.findall(r"\p{L}+", text.lower()))
+        share = np.exp(total - total.max())
+        assert lang == sorted({x[0] for x in rows})[int(total.argmax())] and abs(score - 1 / share.sum()) < 1e-3
 
 
 # --- neighbours ------------------------------------------------------------------------------

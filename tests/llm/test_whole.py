@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from absorbia.llm import langid, nearcopies, pii, simhash
+from absorbia.llm import langid, nearcopies, pii, quality, simhash
 
 rng = random.Random(5)
 VOCABULARY = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8))) for _ in range(3000)]
@@ -77,10 +77,23 @@ def test_rare_languages_are_learned(spark):
     assert model.predict([" ".join(rare[:8]), rows[0][2], "κάτι"])[0] == ["zz", "aa", "null_id"]
 
 
-def test_rare_languages_keep_words_and_grams():
-    table = [{"lang": "aa", "word": f"{a}{b}{c}", "n": 50} for a in "abcdef" for b in "abcdef" for c in "abcdef"]
-    model = langid.learn([*table, {"lang": "zz", "word": "xyz", "n": 1}], 20)
-    assert model.langs == ["aa", "zz"] and "xyz" in model.grams and model.predict(["xyzz"])[0] == ["zz"]
+def test_every_word_and_gram_is_known():
+    words = [f"{a}{b}{c}" for a in "abcdef" for b in "abcdef" for c in "abcdef"]
+    model = langid.learn(["aa"] * len(words) + ["zz"], [*words, "xyz"], [50] * len(words) + [1])
+    assert model.langs == ["aa", "zz"] and set(words) < set(model.words) and "xyz" in model.grams and model.predict(["xyzz"])[0] == ["zz"]
+
+
+def test_repeated_ids_do_not_crowd_out_others(spark):
+    rows = [(1, "aa", f"uno{i} dos") for i in range(3_000)] + [(2 + i, "bb", "tres cuatro cinco") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    model = langid.fit(docs, max_docs=10, lang_docs=5)
+    assert model.langs == ["aa", "bb"] and sum(w.startswith("uno") for w in model.words) == 1
+    labels = spark.createDataFrame([(1, 1, 1), *[(2 + i, 0, 0) for i in range(20)]], "doc_id long, quality int, toxic int")
+    known = labels.selectExpr("doc_id", "quality label")
+    rows, y = quality.sample_rows(docs.drop("lang"), known, "doc_id", "text", 4_000, quality.BITS, quality.KINDS)
+    assert len(rows) == len(y) == 21 and y.sum() == 1
+    again, _ = quality.sample_rows(docs.drop("lang").orderBy(F.rand(3)), known, "doc_id", "text", 4_000, quality.BITS, quality.KINDS)
+    assert (rows.feature == again.feature).all()
 
 
 def test_rare_personal_data_is_learned(spark):
