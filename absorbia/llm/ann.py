@@ -6,10 +6,14 @@ strings, one a tree. A query descends each tree to its longest matching prefix,
 trees ascend together, a bit at a time, until the prefix ranges hold enough candidates; these are
 compared exactly, in double precision.
 
-Queries come in blocks of bounded size, and each block of queries passes over all index rows once.
-Equal vectors in a block of rows are one index entry with its least ids, so that no number of
-copies crowds out others. Vectors that are null, zero, of another length, or hold null or
-non-finite components take no part. Ties go to the smaller id. No rows come from an empty table.
+Queries come in blocks of bounded size, one after another; each block passes over all index rows
+once, and its answers are written before the next is drawn. Equal vectors in a block of rows are
+one index entry with its least ids, so that no number of copies crowds out others.
+
+Vectors that are null, zero, of another length than most of the sample, or hold null or
+non-finite components take no part, nor do rows without an id. An id that stands at several
+vectors is a candidate with each; as a query it asks with each, and its rows are ranked together.
+Ties go to the smaller id. No rows come from an empty table; other columns may have any names.
 """
 
 from __future__ import annotations
@@ -20,17 +24,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import bounded_ids
+from .common import bounded_ids, materialize, one_row_an_id
 
-TREES = 8
-BITS = 48
+TREES = 128
+BITS = 20
 K = 10
 #: The bounded sample that the planes are taken from; index rows and queries in a block.
 SAMPLE = 2_048
 INDEX_BLOCK = 16_384
 QUERY_BLOCK = 16_384
-#: Least candidates of a query in a block: this many, and this share of the block's rows.
-LEAST = 400
+#: Entries over all trees at which a query stops ascending in a block: this many, and this share of the block's rows.
+LEAST = 1_000
 SHARE = 0.25
 
 
@@ -103,26 +107,27 @@ def search(index: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec_
     """query_id, rank (from 1), vec_id, score (Euclidean distance) of the k nearest found."""
     spark = index.sparkSession
     rows, asked = _valid(index, id_col, vector_col), _valid(queries, id_col, vector_col)
-    drawn = rows.join(F.broadcast(bounded_ids(rows.select("vec_id"), "vec_id", SAMPLE).distinct()), "vec_id", "left_semi").limit(2 * SAMPLE).toArrow()
+    sampled = rows.join(F.broadcast(bounded_ids(rows.select("vec_id"), "vec_id", SAMPLE).distinct()), "vec_id", "left_semi")
+    drawn = one_row_an_id(sampled, "vec_id").orderBy("vec_id").toArrow()
     schema = "query_id long, vec_id long, score double"
     dims = int(np.bincount(drawn["vector"].combine_chunks().value_lengths().to_numpy(zero_copy_only=False)).argmax()) if drawn.num_rows else 0
     if not dims:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     planes = Planes.fit(_matrix(drawn["vector"].combine_chunks(), dims)[0])
-    total = asked.count()
-    blocks = max(1, -(-total // (QUERY_BLOCK // 2)))
-    out = None
+    nearest = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    blocks = max(1, -(-asked.count() // (QUERY_BLOCK // 2)))
+    out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     for b in range(blocks):
         part = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).toArrow()
         if not part.num_rows:
             continue
         x, good = _matrix(part["vector"].combine_chunks(), dims)
-        found = rows.mapInArrow(_pass(spark.sparkContext.broadcast((planes, part["vec_id"].to_numpy()[good], x)), k, share, least), schema)
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    nearest = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return out.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        shared = spark.sparkContext.broadcast((planes, part["vec_id"].to_numpy()[good], x))
+        found = rows.mapInArrow(_pass(shared, k, share, least), schema)
+        found = found.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        out = out.unionByName(materialize(found, "nearest"))
+        shared.destroy()
+    return out
 
 
 def _pass(shared, k: int, share: float, least: int):
@@ -134,7 +139,7 @@ def _pass(shared, k: int, share: float, least: int):
         distinct = x[first]
         forest = Forest(planes, distinct)
         out = ([], [], [])
-        for q, near in enumerate(forest.candidates(queries, max(least, int(share * len(distinct))) * planes.normal.shape[0] // 2)):
+        for q, near in enumerate(forest.candidates(queries, max(least, int(share * len(distinct))))):
             away = np.sqrt(((distinct[near] - queries[q]) ** 2).sum(axis=1))
             few = np.argsort(away, kind="stable")
             cut = min(len(few), k + 1)

@@ -7,7 +7,8 @@ likeness is one minus that difference over a bound, not below 0. Equal texts hav
 texts too short for a triplet have all buckets in the lowest quartile.
 
 Null texts are empty. Rows of equal doc_id are ordered by their text's SHA-256; equal rows each
-give a row. A table of one row is its own neighbour; an empty table gives no rows.
+give a row. Texts of any length are digested whole, a part at a time. Other columns of the table
+may have any names. A table of one row is its own neighbour; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from .common import pieces
 BUCKETS = 128
 #: The difference at which likeness reaches 0.
 BOUND = 160.0
-#: Documents in a block of neighbours.
+#: Least documents in a block of neighbours.
 BLOCK = 2048
 _SKIPS = ((1, 2), (1, 3), (2, 3), (1, 4))
 
@@ -77,14 +78,17 @@ def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     The order is by descending doc_id, the first following the last. Documents are dealt into
     blocks of neighbouring ids, and the first document of a block also goes to the block before,
-    so texts move once and no task needs more than a block.
+    so texts move once. A block has about max(block, sqrt(n)) of n documents, so that neither the
+    blocks nor their number, which the driver holds the first ids of, grow faster than the square
+    root. A task sorts its blocks, spilling where they are large, and holds one document at a time;
+    rows of one id are one block.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     size = source.agg(F.count(F.lit(1)).alias("n")).first()["n"]
-    blocks = max(1, min(10_000, size // block))
+    blocks = max(1, size // max(block, math.isqrt(size)))
     # nulls last in descending order
     key = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
-    cuts = sorted(set(source.select(key.alias("k")).agg(F.percentile_approx("k", [i / blocks for i in range(1, blocks)] or [0.5], 100_000).alias("q")).first()["q"] or []), reverse=True) if blocks > 1 else []
+    cuts = sorted(set(source.select(key.alias("k")).agg(F.percentile_approx("k", [i / blocks for i in range(1, blocks)] or [0.5], max(100_000, 20 * blocks)).alias("q")).first()["q"] or []), reverse=True) if blocks > 1 else []
     shared = docs.sparkSession.sparkContext.broadcast(np.array(cuts[::-1], np.int64))
 
     def deal(batches):

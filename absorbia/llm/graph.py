@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -24,10 +24,15 @@ def components(edges: DataFrame) -> DataFrame:
         maps.append(step)
         a, b = step.select(F.col("node").alias("u"), F.col("to").alias("x")), step.select(F.col("node").alias("v"), F.col("to").alias("y"))
         moved = left.join(a, "u").join(b, "v").where("x <> y")
-        left = materialize(moved.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct(), "edges")
+        fewer = materialize(moved.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct(), "edges")
+        discard(left)
+        left = fewer
+    discard(left)
     if not maps:
         return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).limit(0)
     out = maps[0].select("node", F.col("to").alias("root"))
     for step in maps[1:]:
         out = out.join(step.select(F.col("node").alias("root"), "to"), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
-    return materialize(out, "roots")
+    out = materialize(out, "roots")
+    discard(*maps)
+    return out

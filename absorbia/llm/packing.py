@@ -5,8 +5,10 @@ entries whatever the corpus size, so the branch and bound runs on the driver ove
 Its answer, a list of (pattern, multiplicity), is turned into rank intervals per length, and the
 pieces look their place up by their rank among pieces of equal length.
 
-Nulls and empty texts are documents of one token (the end id). Repeated rows are packed once each.
-An empty table gives no rows.
+Nulls and empty texts are documents of one token (the end id). Repeated rows are packed once each,
+whatever their ids; pieces of equal length, salt, id, place and content are interchangeable. Long
+texts are cut into pieces of the capacity. Other columns of the table may have any names. An empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -15,7 +17,9 @@ import json
 import re
 import zlib
 from array import array
-from bisect import bisect_right
+from bisect import bisect_right, insort
+from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +32,8 @@ from .common import claim, materialize, pieces
 CAPACITY = 4096
 END_ID = 1
 SALTS = 64
+#: Nodes of the branch and bound over sequences; a fiftieth of them is the most for one filling.
+NODES = 200_000
 #: Words a Python worker remembers before it starts anew.
 MEMO = 700_000
 ODD = re.compile("[\x1c-\x1f]")
@@ -127,7 +133,7 @@ def cut(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "tex
     return source.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def completion(room: int, count: dict[int, int], lengths: list[int], nodes: int = 4000) -> tuple[int, ...]:
+def completion(room: int, count: dict[int, int], lengths: list[int], nodes: int = NODES // 50) -> tuple[int, ...]:
     """The undominated filling of `room` with least waste: fewer and longer items first.
 
     Iterative deepening over the number of items. A filling of fewer items dominates one whose
@@ -171,32 +177,27 @@ def completion(room: int, count: dict[int, int], lengths: list[int], nodes: int
                 return True
         return False
 
-    for depth in range(1, 9):
+    for depth in range(1, room // lengths[0] + 1):
         if deepen(room, len(lengths) - 1, depth, ()) or budget < 0:
             break
     return best
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> list[tuple[tuple[int, ...], int]]:
     """Patterns (lengths in one bin) with multiplicities that use up the histogram.
 
-    Around the longest remaining item the best completion is taken, as often as the histogram
-    allows, so each step uses up at least one length and there are at most `capacity` steps.
-    Where that leaves more bins than the bound by total length, a best-fit decreasing packing
-    is made too and the better of the two returned.
+    The first incumbents take the best completion around the longest remaining item, and the
+    best-fit one, as often as the histogram allows. While they have more bins than the bound by
+    total length and by items over half a bin, other fillings and multiplicities are tried depth
+    first, within `nodes` nodes.
     """
     count = {k: v for k, v in histogram.items() if v > 0}
     total = sum(k * v for k, v in count.items())
     bound = max(-(-total // capacity), sum(v for k, v in count.items() if 2 * k > capacity))
-    out, rest = _descend(count, capacity, 4000)
-    if out > bound:
-        other, more = _descend(count, capacity, 0)
-        if other < out:
-            rest = more
-    if out > bound and sum(count.values()) <= 40:
-        exact = _branch(count, capacity, min(out, sum(m for _, m in rest)))
-        rest = exact or rest
-    return rest
+    bins, best = _descend(count, capacity, nodes // 50)
+    if bins > bound:
+        bins, best = min((bins, best), _descend(count, capacity, 0), key=lambda x: x[0])
+    return _search(count, capacity, total, bound, bins, best, nodes) if bins > bound else best
 
 
 def _descend(histogram: dict[int, int], capacity: int, nodes: int) -> tuple[int, list[tuple[tuple[int, ...], int]]]:
@@ -217,42 +218,89 @@ def _descend(histogram: dict[int, int], capacity: int, nodes: int) -> tuple[int,
     return sum(m for _, m in out), out
 
 
-def _branch(histogram: dict[int, int], capacity: int, incumbent: int, nodes: int = 20_000) -> list[tuple[tuple[int, ...], int]] | None:
-    """Bin completion with backtracking for few items; None if nothing better than the incumbent."""
-    budget, best = nodes, None
+def fillings(room: int, count: dict[int, int], lengths: list[int], step: Callable[[], bool]):
+    """Undominated fillings, longest items first: nothing more fits, and no item could give way to
+    a longer one that is left over. step() is false once the search has to stop."""
 
-    def fillings(items: list[int], room: int) -> list[tuple[int, ...]]:
-        got: set[tuple[int, ...]] = set()
-
-        def grow(i: int, left: int, chosen: tuple[int, ...]) -> None:
-            if len(got) > 200:
-                return
-            for j in range(i, len(items)):
-                if items[j] <= left and (j == i or items[j] != items[j - 1]):
-                    grow(j + 1, left - items[j], (*chosen, items[j]))
-            if not any(x <= left for x in items[i:]):
-                got.add(chosen)
-
-        grow(0, room, ())
-        return sorted(got, key=lambda f: (room - sum(f), len(f)))
-
-    def search(items: list[int], bins: list[tuple[int, ...]]) -> None:
-        nonlocal budget, best, incumbent
-        if not items:
-            if len(bins) < incumbent:
-                incumbent, best = len(bins), list(bins)
+    def grow(left: int, top: int, chosen: tuple[int, ...]):
+        if not step():
             return
-        budget -= 1
-        if budget < 0 or len(bins) + -(-sum(items) // capacity) >= incumbent:
+        fits = False
+        for i in range(min(top, bisect_right(lengths, left) - 1), -1, -1):
+            item = lengths[i]
+            if chosen.count(item) < count[item]:
+                fits = True
+                yield from grow(left - item, i, (*chosen, item))
+        if fits:
             return
-        for fill in fillings(items[1:], capacity - items[0]):
-            rest = list(items[1:])
-            for x in fill:
-                rest.remove(x)
-            search(rest, [*bins, (items[0], *fill)])
+        for item in set(chosen):
+            longer = bisect_right(lengths, item + left) - 1
+            while longer >= 0 and lengths[longer] > item:
+                if chosen.count(lengths[longer]) < count[lengths[longer]]:
+                    return
+                longer -= 1
+        if not any(chosen.count(x) < count[x] for x in lengths[: bisect_right(lengths, left)]):
+            yield chosen
+
+    yield from grow(room, len(lengths) - 1, ())
+
+
+def _search(histogram: dict[int, int], capacity: int, total: int, bound: int, bins: int, best: list, nodes: int) -> list[tuple[tuple[int, ...], int]]:
+    """Bin completion with backtracking: a packing of fewer bins if one is found within the nodes."""
+    count, lengths, budget = dict(histogram), sorted(histogram), nodes
+    out: list[tuple[tuple[int, ...], int]] = []
+    used = waste = 0
+
+    def step() -> bool:
+        nonlocal budget
+        budget -= 1
+        return budget >= 0
+
+    def change(pattern: tuple[int, ...], times: int) -> None:
+        for k in set(pattern):
+            before = count[k]
+            count[k] += pattern.count(k) * times
+            if not before:
+                insort(lengths, k)
+            elif not count[k]:
+                lengths.remove(k)
 
-    search(sorted((k for k, v in histogram.items() for _ in range(v)), reverse=True), [])
-    return [(b, 1) for b in best] if best else None
+    def choices():
+        first = lengths[-1]
+        count[first] -= 1
+        kept, left = dict(count), [k for k in lengths if count[k]]
+        best_fit = tuple(sorted(completion(capacity - first, kept, left, min(nodes // 50, max(budget, 0))), reverse=True))
+        count[first] += 1
+        seen = set()
+        for fill in chain([best_fit], fillings(capacity - first, kept, left, step)):
+            pattern = (first, *fill)
+            if pattern in seen:
+                continue
+            seen.add(pattern)
+            for times in range(min(count[k] // pattern.count(k) for k in set(pattern)), 0, -1):
+                if step() and waste + times * (capacity - sum(pattern)) <= (bins - 1) * capacity - total:
+                    yield pattern, times
+
+    stack = [choices()]
+    while stack and budget > 0:
+        choice = next(stack[-1], None)
+        if choice is None:
+            stack.pop()
+            if out:
+                pattern, times = out.pop()
+                change(pattern, times)
+                used, waste = used - times, waste - times * (capacity - sum(pattern))
+            continue
+        pattern, times = choice
+        change(pattern, -times)
+        out.append(choice)
+        used, waste = used + times, waste + times * (capacity - sum(pattern))
+        if not lengths and used < bins:
+            bins, best = used, list(out)
+            if bins == bound:
+                break
+        stack.append(choices() if lengths else iter(()))
+    return best
 
 
 def intervals(patterns: list[tuple[tuple[int, ...], int]]) -> dict[str, np.ndarray]:
@@ -281,9 +329,8 @@ def pack_pieces(cuts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     totals = counts.sum(axis=1)
     places = intervals(plan({int(k): int(totals[k]) for k in np.flatnonzero(totals)}, capacity))
     shared = cuts.sparkSession.sparkContext.broadcast((start, places))
-    n = max(1, min(20_000, int(totals.sum() // 200_000) + 1))
     # the salt keeps a length that many copies share from landing in one task
-    dealt = (salted.repartition("length", "_salt") if n < 200 else salted.repartition(n, "length", "_salt")).sortWithinPartitions("length", "_salt", "doc_id", "piece", "ids_crc32")
+    dealt = salted.repartition("length", "_salt").sortWithinPartitions("length", "_salt", "doc_id", "piece", "ids_crc32")
 
     def run(batches):
         start, at = shared.value

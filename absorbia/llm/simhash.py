@@ -10,10 +10,16 @@ copies for radius plus threshold 2.
 
 Fingerprints of equal value are one node, whatever their number of documents. Within an anchor
 links are found by a search from node to node that leaves out what it has reached, and only a
-tree of links is written, never all pairs.
+tree of links is written, never all pairs. Anchors that are frequent in a sample of fingerprints
+are split: two fingerprints within the threshold are equal in one of four quarters of the half
+that the anchor does not cover, so each is dealt by the values of these quarters. The sample
+changes no result, only which groups are split.
+
 
 Null and empty texts, and texts without a word, have fingerprint zero and link like any other.
-Documents with a null id have a class like others; the class id is the least non-null id.
+Documents with a null id have a class like others; the class id is the least non-null id, null
+where a class has none. Repeated rows each give a row. Texts of any length are read whole. Other
+columns of the table may have any names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,7 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import map_text, materialize
+from .common import bounded_ids, discard, map_text, materialize
 from .graph import components
 
 SHINGLE = 3
@@ -31,6 +37,9 @@ SEED = 42
 THRESHOLD = 3
 #: Groups up to this size are compared by shifts, all at once.
 SMALL = 24
+#: Fingerprints of the sample that finds frequent anchors, and how many of these make one.
+SAMPLE = 20_000
+FREQUENT = 200
 # Lower case of A-Z in bytes.
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -95,6 +104,21 @@ def anchors(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(keys)
 
 
+def quarters(fp: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+    """Four keys of each row below its anchor: the bytes of the half that the anchor does not cover."""
+    other = fp.view(np.uint64) >> (np.uint64(32) * (1 - (anchor >> 31)).astype(np.uint64)) & np.uint64(0xFFFFFFFF)
+    place = np.arange(4, dtype=np.uint64)
+    key = place << np.uint64(8) | (other[:, None] >> (np.uint64(8) * place) & np.uint64(255))
+    return (anchor[:, None] << 11 | (key.astype(np.int64) + 1)).reshape(-1)
+
+
+def frequent_anchors(fps: DataFrame, sample: int = SAMPLE, least: int = FREQUENT) -> np.ndarray:
+    """Anchors of at least `least` of the `sample` fingerprints of least hash, sorted."""
+    drawn = bounded_ids(fps.select("fp"), "fp", sample).toArrow()["fp"].to_numpy()
+    found, n = np.unique(anchors(drawn)[1], return_counts=True)
+    return found[n >= least]
+
+
 def link_group(fp: np.ndarray, threshold: int = THRESHOLD) -> list[tuple[int, int]]:
     """A tree of links for each component of distinct fingerprints."""
     bits, left, out = fp.view(np.uint64), np.arange(len(fp)), []
@@ -113,17 +137,23 @@ def link_group(fp: np.ndarray, threshold: int = THRESHOLD) -> list[tuple[int, in
     return out
 
 
-def links(fps: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+def links(fps: DataFrame, threshold: int = THRESHOLD, sample: int = SAMPLE, frequent: int = FREQUENT) -> DataFrame:
     """Links (u, v) that connect all distinct fingerprints within the threshold."""
     if not 0 <= threshold <= 3:
         raise ValueError("the two-half cover holds for thresholds up to 3")
 
+    shared = fps.sparkSession.sparkContext.broadcast(frequent_anchors(fps, sample, frequent))
+
     def copy(batches):
+        hot = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 fp = batch.column(0).to_numpy()[at : at + 4096]
                 i, keys = anchors(fp)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fp[i])], names=["anchor", "fp"])
+                split = np.isin(keys, hot) if len(hot) else np.zeros(len(keys), bool)
+                keys = np.concatenate([keys[~split] << 11, quarters(fp[i[split]], keys[split])])
+                rows = np.concatenate([fp[i[~split]], np.repeat(fp[i[split]], 4)])
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(rows)], names=["anchor", "fp"])
 
     dealt = fps.select("fp").mapInArrow(copy, "anchor long, fp long").repartition("anchor").sortWithinPartitions("anchor")
 
@@ -175,5 +205,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = roots.join(nodes.withColumnRenamed("fp", "node"), "node")
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = materialize(roots.join(least, "root").select(F.col("node").alias("fp"), "component_id"), "classes")
+    discard(roots)
     each = materialize(nodes.join(classes, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "classes")
+    discard(nodes, classes)
     return marked.join(each, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
