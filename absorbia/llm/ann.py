@@ -33,6 +33,8 @@ K = 10
 SAMPLE = 2_048
 INDEX_BLOCK = 16_384
 QUERY_BLOCK = 16_384
+#: Vectors that are hashed at once.
+CHUNK = 512
 #: Entries over all trees at which a query stops ascending in a block: this many, and this share of the block's rows.
 LEAST = 1_000
 SHARE = 0.25
@@ -56,8 +58,13 @@ class Planes:
     def strings(self, x: np.ndarray) -> np.ndarray:
         """trees x rows hash strings, the first bit highest."""
         trees, bits, dims = self.normal.shape
-        side = (x @ self.normal.reshape(-1, dims).T > self.offset.reshape(-1)).reshape(len(x), trees, bits)
-        return (side @ (np.uint64(1) << np.arange(bits, dtype=np.uint64)[::-1])).T.astype(np.uint64)
+        normal, offset = self.normal.reshape(-1, dims).T, self.offset.reshape(-1)
+        out = np.zeros((trees, len(x)), np.uint64)
+        for at in range(0, len(x), CHUNK):
+            side = (x[at : at + CHUNK] @ normal > offset).reshape(-1, trees, bits)
+            for b in range(bits):
+                out[:, at : at + CHUNK] |= side[:, :, b].T.astype(np.uint64) << np.uint64(bits - 1 - b)
+        return out
 
 
 class Forest:
@@ -71,7 +78,10 @@ class Forest:
 
     def candidates(self, queries: np.ndarray, least: int):
         """Rows of the block for each query, by synchronous ascent to `least` entries over all trees."""
-        strings = self.planes.strings(queries)
+        for at in range(0, len(queries), CHUNK):
+            yield from self._ascend(self.planes.strings(queries[at : at + CHUNK]), least)
+
+    def _ascend(self, strings: np.ndarray, least: int):
         lo = np.zeros((self.bits + 1, *strings.shape), np.int64)
         hi = np.zeros_like(lo)
         for keep in range(self.bits + 1):  # prefix ranges at each depth
@@ -83,7 +93,7 @@ class Forest:
                 hi[keep, t] = np.searchsorted(entries, stop[t], side="right")
         enough = (hi - lo).sum(axis=1) >= min(least, self.sorted.size)
         depth = self.bits - np.argmax(enough[::-1], axis=0)
-        for q in range(len(queries)):
+        for q in range(strings.shape[1]):
             d = depth[q]
             yield np.unique(np.concatenate([self.order[t, lo[d, t, q] : hi[d, t, q]] for t in range(len(self.sorted))]))
 
