@@ -8,8 +8,14 @@ from absorbia.errors import AbsorbiaError
 
 # Kernel names and their aliases.
 ALIASES = {
-    "bartlett": "bartlett", "newey_west": "bartlett", "nw": "bartlett", "truncated": "truncated", "tru": "truncated", "parzen": "parzen", "tukey_hanning": "tukey_hanning", "hann": "tukey_hanning",
-    "tukey_hamming": "tukey_hamming", "hamm": "tukey_hamming", "quadratic_spectral": "quadratic_spectral", "qs": "quadratic_spectral", "daniell": "daniell", "dan": "daniell", "tent": "tent",
+    "bartlett": "bartlett", "bar": "bartlett", "newey_west": "bartlett", "neweywest": "bartlett", "nw": "bartlett",
+    "truncated": "truncated", "tru": "truncated", "uniform": "truncated", "rectangular": "truncated",
+    "parzen": "parzen", "par": "parzen",
+    "tukey_hanning": "tukey_hanning", "thann": "tukey_hanning", "hann": "tukey_hanning",
+    "tukey_hamming": "tukey_hamming", "thamm": "tukey_hamming", "hamm": "tukey_hamming",
+    "quadratic_spectral": "quadratic_spectral", "qua": "quadratic_spectral", "qs": "quadratic_spectral",
+    "daniell": "daniell", "danielle": "daniell", "dan": "daniell",
+    "tent": "tent", "ten": "tent",
 }
 SPECTRAL = {"quadratic_spectral", "daniell", "tent"}
 
@@ -24,6 +30,8 @@ def canonical(name: str) -> str:
 def weight(name: str, lag: int, bandwidth: float) -> float:
     """Weight of the autocovariance at a lag."""
     kind = canonical(name)
+    if not (bandwidth > 0 and math.isfinite(bandwidth)):
+        raise AbsorbiaError("inference.bandwidth", f"bandwidth {bandwidth} is not a positive number", stage="inference")
     if lag == 0:
         return 1.0
     if kind in SPECTRAL:
@@ -33,7 +41,7 @@ def weight(name: str, lag: int, bandwidth: float) -> float:
             return 25 / (12 * math.pi**2 * x**2) * (math.sin(z) / z - math.cos(z))
         if kind == "daniell":
             return math.sin(math.pi * x) / (math.pi * x)
-        return 2 * (1 - math.cos(x)) / x**2
+        return 2 * (1 - math.cos(lag * x)) / x**2
     if lag > math.floor(bandwidth):
         return 0.0
     x = lag / bandwidth

@@ -134,7 +134,7 @@ def iv(df: DataFrame, y: str, exog, endog, instruments, absorb=None, *, estimato
         vcov = vcov * factor if estimator == "gmm2s" else bread @ meat @ bread * factor
         if kind == "cluster":
             df_resid = min(df_resid, min(extra["clusters"]) - 1)
-            vcov = M.repair(vcov) if len(clusters) > 1 else vcov
+            vcov = M.repair_scaled(vcov, rows, xs) if len(clusters) > 1 else vcov
         if kind == "dkraay":
             df_resid = min(df_resid, extra["periods"] - 1)
     over = len(iz) - len(ix)
@@ -234,8 +234,8 @@ def kleibergen_paap(rows, g, order, endog, controls, excluded, n, df_a, kind, me
 
     def statistic(resid_cov, unrestricted):
         """Rank test of the scaled reduced form with score covariance from its residuals."""
-        fz, fe = np.linalg.cholesky(M.inverse(zz / n)), np.linalg.cholesky(M.inverse(resid_cov / n))
-        theta = np.linalg.inv(fz) @ pi @ fe if False else np.linalg.cholesky(zz / n).T @ pi @ fe
+        fe = np.linalg.cholesky(M.inverse(resid_cov / n))
+        theta = np.linalg.cholesky(zz / n).T @ pi @ fe
         resid = [e - sum((F.lit(float(pi[i, j])) * zs[i] for i in range(l)), F.lit(0.0)) if unrestricted else e for j, e in enumerate(es)]
         scores = [w * r * z for r in resid for z in zs]
         if kind == "iid":

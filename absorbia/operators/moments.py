@@ -5,10 +5,11 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from absorbia.errors import AbsorbiaError
 from absorbia.functions import kernels
+from absorbia.sources.scratch import checkpoint
 
 
 def gram(df: DataFrame, left: list[Column], right: list[Column] | None = None, weight: Column | None = None) -> np.ndarray:
@@ -78,7 +79,8 @@ def _time_number(df: DataFrame, time: str) -> Column:
 def hac_meat(df: DataFrame, scores: list[Column], time: str, kernel: str = "bartlett", bandwidth: float | None = None, panel: str | None = None, across: bool = False) -> tuple[np.ndarray, int, float]:
     """(meat, periods, bandwidth): kernel-weighted autocovariances of scores.
 
-    Lags join on exact time differences, so gaps give no pair. `across` sums scores by period first
+    Times are numbered in steps of the least difference, and lags join on these numbers, so gaps
+    give no pair and rounding of times loses none. `across` sums scores by period first
     (Driscoll-Kraay). A time that repeats within a panel is an error.
     """
     names = [f"_s{i}" for i in range(len(scores))]
@@ -91,34 +93,40 @@ def hac_meat(df: DataFrame, scores: list[Column], time: str, kernel: str = "bart
         raise AbsorbiaError("inference.time", "times repeat" + (" within a panel" if keys else "; a panel column is needed"), stage="inference")
     base = base.persist()
     try:
-        step, span, periods = _step_and_span(base, keys)
+        step, first, span, periods = _step_and_span(base, keys)
         width = bandwidth if bandwidth is not None else kernels.automatic_bandwidth(periods)
         cols = [F.col(n) for n in names]
         meat = gram(base, cols)
+        x = (F.col("_t") - F.lit(first)) / F.lit(step)
+        whole = F.floor(x + F.lit(5e-7))  # steps, and millionths of a step beside them
+        placed = base.select(*["_p"] * bool(keys), whole.alias("_i"), F.round((x - whole) * 1e6).cast("long").alias("_f"), *names)
+        on = [*["_p"] * bool(keys), "_i", "_f"]
         for lag in range(1, kernels.max_lag(kernel, width, span) + 1):
             k = kernels.weight(kernel, lag, width)
             if k:
-                behind = base.select(*[F.col("_p")] * bool(keys), (F.col("_t") + F.lit(lag * step)).alias("_t"), *[F.col(n).alias(f"{n}b") for n in names])
-                gamma = gram(base.join(behind, group), cols, [F.col(f"{n}b") for n in names])
+                behind = placed.select(*["_p"] * bool(keys), (F.col("_i") + F.lit(lag)).alias("_i"), "_f", *[F.col(n).alias(f"{n}b") for n in names])
+                gamma = gram(placed.join(behind, on), cols, [F.col(f"{n}b") for n in names])
                 meat = meat + k * (gamma + gamma.T)
         return meat, periods, float(width)
     finally:
         base.unpersist()
 
 
-def _step_and_span(base: DataFrame, keys: list[str]) -> tuple[float, int, int]:
-    """Least positive time step (within a panel), span in steps, number of distinct times."""
-    from pyspark.sql import Window
-
-    distinct = base.select(*["_p"] * bool(keys), "_t").distinct()
-    gaps = distinct.select((F.col("_t") - F.lag("_t").over(Window.partitionBy(*(["_p"] if keys else [F.lit(0)])).orderBy("_t"))).alias("g")) if keys else None
-    if gaps is None:  # one series: distinct times are few, order them alone
-        times = np.sort(np.array([r[0] for r in distinct.limit(2_000_000).collect()]))
-        step = float(np.diff(times).min()) if len(times) > 1 else 1.0
-        return step, int(round((times[-1] - times[0]) / step)), len(times)
-    step = gaps.where("g > 0").agg(F.min("g")).first()[0] or 1.0
-    row = distinct.agg(F.min("_t"), F.max("_t"), F.count_distinct("_t")).first()
-    return step, int(round((row[1] - row[0]) / step)), row[2]
+def _step_and_span(base: DataFrame, keys: list[str]) -> tuple[float, float, int, int]:
+    """Least positive time step (within a panel), first time, span in steps, number of distinct times."""
+    if keys:
+        distinct = base.select("_p", "_t").distinct()
+        gaps = distinct.select((F.col("_t") - F.lag("_t").over(Window.partitionBy("_p").orderBy("_t"))).alias("g"))
+        step = gaps.where("g > 0").agg(F.min("g")).first()[0]
+        first, last, n = distinct.agg(F.min("_t"), F.max("_t"), F.count_distinct("_t")).first()
+    else:  # one series: ranges of times are ordered apart, and their ends compared here
+        ranged = checkpoint(base.select("_t").distinct().repartitionByRange("_t").withColumn("_r", F.spark_partition_id()))
+        within = ranged.withColumn("g", F.col("_t") - F.lag("_t").over(Window.partitionBy("_r").orderBy("_t")))
+        ends = sorted(tuple(r) for r in within.groupBy("_r").agg(F.min("_t"), F.max("_t"), F.min("g"), F.count("_t")).select("min(_t)", "max(_t)", "min(g)", "count(_t)").collect())
+        step = min([e[2] for e in ends if e[2]] + [b[0] - a[1] for a, b in zip(ends, ends[1:])], default=None)
+        first, last, n = (ends[0][0], ends[-1][1], sum(e[3] for e in ends)) if ends else (0.0, 0.0, 0)
+    step = step or 1.0
+    return step, first or 0.0, int(round(((last or 0.0) - (first or 0.0)) / step)), n
 
 
 def repair(v: np.ndarray, scale: np.ndarray | None = None) -> np.ndarray:
@@ -130,6 +138,12 @@ def repair(v: np.ndarray, scale: np.ndarray | None = None) -> np.ndarray:
     return (vectors * np.maximum(values, 0)) @ vectors.T / np.outer(s, s)
 
 
+def repair_scaled(v: np.ndarray, rows: DataFrame, columns: list[str]) -> np.ndarray:
+    """repair in units of the columns' standard deviations; the constant's is one."""
+    sd = column_moments(rows, [c for c in columns if c != "_cons"])
+    return repair(v, np.array([sd[c][1] if c in sd else 1.0 for c in columns]))
+
+
 def inverse(a: np.ndarray) -> np.ndarray:
     """Symmetric inverse in unit-diagonal scaling, eigenvalues below 1e-15 of the largest cut."""
     s = 1 / np.sqrt(np.maximum(np.diag(a), 1e-300))

@@ -132,8 +132,7 @@ def ols(df: DataFrame, y: str, x, absorb=None, *, weights: str | None = None, we
         meat, extra = score_meat(rows, scores, kind, clusters, time, panel, kernel, bandwidth, wtype)
         vcov = bread @ meat @ bread * small_sample(kind, n, k_total, nested, extra)
         if kind == "cluster" and len(clusters) > 1 and used:
-            sd = M.column_moments(rows, [c for c in used if c != "_cons"])
-            vcov = M.repair(vcov, np.array([sd[c][1] if c in sd else 1.0 for c in used]))
+            vcov = M.repair_scaled(vcov, rows, used)
         if kind == "cluster":
             df_resid = min(df_resid, min(extra["clusters"]) - 1)
         if kind == "dkraay":

@@ -283,11 +283,18 @@ def hac_panel(spark, sf_dir):
     return _coefs(spark, _of(ols(df, "v", "hr", "user_id", vce="hac", time="day", panel="user_id", bandwidth=3, drop_singletons=False)), 8)
 
 
-@query("""SELECT lag, round(CASE WHEN lag = 0 THEN 1 ELSE greatest(1 - lag / 4.0, 0) END, 9) AS bartlett, round(CASE WHEN lag = 0 THEN 1 WHEN lag > 4 THEN 0 WHEN lag / 4.0 <= 0.5 THEN 1 - 6 * pow(lag / 4.0, 2) + 6 * pow(lag / 4.0, 3) ELSE 2 * pow(1 - lag / 4.0, 3) END, 9) AS parzen,
-round(CASE WHEN lag = 0 THEN 1 ELSE 25 / (12 * pow(pi(), 2) * pow(lag / 4.0, 2)) * (sin(6 * pi() * lag / 20.0) / (6 * pi() * lag / 20.0) - cos(6 * pi() * lag / 20.0)) END, 9) AS qs FROM (SELECT CAST(range AS BIGINT) AS lag FROM range(0, 8))""")
+_LAG_KERNELS = {
+    "bartlett": "greatest(1 - x, 0)", "truncated": "CASE WHEN x <= 1 THEN 1 ELSE 0 END",
+    "parzen": "CASE WHEN x <= 0.5 THEN 1 - 6 * x * x + 6 * x * x * x WHEN x <= 1 THEN 2 * pow(1 - x, 3) ELSE 0 END",
+    "thann": "CASE WHEN x <= 1 THEN 0.5 + 0.5 * cos(pi() * x) ELSE 0 END", "thamm": "CASE WHEN x <= 1 THEN 0.54 + 0.46 * cos(pi() * x) ELSE 0 END",
+    "qs": "25 / (12 * pow(pi(), 2) * x * x) * (sin(1.2 * pi() * x) / (1.2 * pi() * x) - cos(1.2 * pi() * x))", "daniell": "sin(pi() * x) / (pi() * x)", "tent": "2 * (1 - cos(lag * x)) / (x * x)",
+}
+
+
+@query("SELECT lag, " + ", ".join(f"CAST(round(CASE WHEN lag = 0 THEN 1 ELSE {rule} END, 9) AS DOUBLE) AS {k}" for k, rule in _LAG_KERNELS.items()) + " FROM (SELECT CAST(range AS BIGINT) AS lag, range / 4.0 AS x FROM range(0, 8))")
 def kernel_weights(spark, sf_dir):
-    rows = [(lag, *(float(round(kernels.weight(k, lag, 4), 9)) for k in ("bartlett", "parzen", "qs"))) for lag in range(8)]
-    return spark.createDataFrame(rows, "lag long, bartlett double, parzen double, qs double")
+    rows = [(lag, *(float(round(kernels.weight(k, lag, 4), 9)) for k in _LAG_KERNELS)) for lag in range(8)]
+    return spark.createDataFrame(rows, "lag long, " + ", ".join(f"{k} double" for k in _LAG_KERNELS))
 
 
 @query(" UNION ALL ".join(f"SELECT '{c}' AS cluster, count(*) AS clusters, CAST(min(n) AS DOUBLE) AS min_size, CAST(median(n) AS DOUBLE) AS median_size, round(avg(n), 9) AS mean_size, CAST(max(n) AS DOUBLE) AS max_size, round(stddev_pop(n) / avg(n), 9) AS cv, round(max(n) / sum(n), 12) AS largest_share, round(sum(n) * sum(n) / sum(n * n), 6) AS effective_clusters, CAST(count_if(n = 1) AS BIGINT) AS singleton_clusters FROM (SELECT {c}, CAST(count(*) AS DOUBLE) AS n FROM lineitem GROUP BY 1)" for c in ("l_suppkey", "l_partkey", "l_orderkey")))

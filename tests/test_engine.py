@@ -370,3 +370,37 @@ def test_reports_hold_no_data(df, tmp_path):
         reports.main(["plan", path])
     with pytest.raises(ValueError):
         reports.error_payload(issue="none")
+
+
+def test_lags_of_fractional_times(spark):
+    from absorbia.operators.moments import hac_meat
+
+    rows = [(i * 0.1, 1.0 + (i % 3)) for i in range(10)] + [(5.35, 2.0)]
+    df = spark.createDataFrame(rows, "t double, s double")
+    got, periods, _ = hac_meat(df, [F.col("s")], "t", "truncated", 2.0)
+    step = min(abs(a[0] - b[0]) for a in rows for b in rows if a != b)
+    want = sum(a[1] * b[1] for a in rows for b in rows if any(abs(abs(a[0] - b[0]) / step - lag) < 1e-6 for lag in (0, 1, 2)))
+    assert periods == 11 and abs(got[0, 0] - want) < 1e-9
+
+
+def test_log_factorials(spark):
+    import math
+
+    from absorbia.operators.poisson import log_factorial
+
+    df = spark.createDataFrame([(v,) for v in (0.0, 0.5, 1.0, 2.0, 7.3, 50.0, 1e4, 1e9)], "y double")
+    for y, v in df.select("y", log_factorial(F.col("y"))).collect():
+        assert abs(v - math.lgamma(y + 1)) <= 1e-10 * max(1, abs(v))
+
+
+def test_a_cluster_without_a_shared_folder_is_refused(monkeypatch):
+    from types import SimpleNamespace
+
+    from absorbia.errors import AbsorbiaError
+    from absorbia.sources.scratch import shared_folder
+
+    session = lambda master, folder: SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: folder), sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: None))
+    assert shared_folder(session("spark://a:7077", "hdfs://x/y/")) == "hdfs://x/y"
+    with pytest.raises(AbsorbiaError) as e:
+        shared_folder(session("spark://a:7077", None))
+    assert e.value.code == "storage.shared_folder"
