@@ -53,8 +53,22 @@ class Cells:
 ONE = "1"
 
 
-def collect_cells(df: DataFrame, terms: list[FixedEffect], variables: dict, weight) -> Cells:
-    """One grouped aggregation over all terms' keys."""
+def level_codes(table: pa.Table, keys: tuple[str, ...]) -> tuple[np.ndarray, list[tuple]]:
+    """(code of each row, levels by code) for the combinations of keys in a table; nulls are a level."""
+    code, parts = np.zeros(table.num_rows, np.int64), []
+    for k in keys:
+        part = table[k].combine_chunks().dictionary_encode(null_encoding="encode")
+        parts.append(part.dictionary)
+        code = code * max(len(part.dictionary), 1) + part.indices.to_numpy(zero_copy_only=False)
+        if len(keys) > 1:  # dense again, so that products of many keys stay small
+            _, first, code = np.unique(code, return_index=True, return_inverse=True)
+    if len(keys) == 1:
+        return code, [(v,) for v in parts[0].to_pylist()]
+    return code, list(zip(*(table[k].take(pa.array(first)).to_pylist() for k in keys)))
+
+
+def collect_cells(df: DataFrame, terms: list[FixedEffect], variables: dict, weight, strict: bool = True) -> Cells | None:
+    """One grouped aggregation over all terms' keys. Beyond MAX_CELLS combinations an error, or None if not strict."""
     keys = list(dict.fromkeys(k for t in terms for k in t.keys))
     bases = list(dict.fromkeys([ONE] * any(t.intercept for t in terms) + [s for t in terms for s in t.slopes]))
     column = lambda b: F.lit(1.0) if b == ONE else F.col(b).cast("double")
@@ -63,13 +77,10 @@ def collect_cells(df: DataFrame, terms: list[FixedEffect], variables: dict, weig
     grouped = df.groupBy(*keys).agg(*sums)
     table = grouped.limit(MAX_CELLS + 1).toArrow()
     if table.num_rows > MAX_CELLS:
+        if not strict:
+            return None
         raise AbsorbiaError("absorb.cells", "too many combinations of levels for the driver", stage="absorb")
-    columns = {k: table[k].to_pylist() for k in keys}
-    codes, levels = [], []
-    for t in terms:
-        index: dict = {}
-        codes.append(np.array([index.setdefault(x, len(index)) for x in zip(*(columns[k] for k in t.keys))], np.int64))
-        levels.append(list(index))
+    codes, levels = (list(x) for x in zip(*(level_codes(table, t.keys) for t in terms)))
     number = lambda name: table[name].to_numpy().astype(float)
     moments = {}
     for i, a in enumerate(bases):
@@ -179,10 +190,10 @@ def residualize(df: DataFrame, terms: list[FixedEffect], variables: list[str], w
         means = df.groupBy(*terms[0].keys).agg(*[(F.sum(w * F.col(v).cast("double")) / F.sum(w)).alias(f"_mean{i}") for i, v in enumerate(variables)])
         joined = df.join(means, list(terms[0].keys))
         return joined.withColumns({o: F.col(v).cast("double") - F.col(f"_mean{i}") for i, (o, v) in enumerate(zip(out, variables))}).drop(*[f"_mean{i}" for i in range(len(variables))]), None
-    keys = list(dict.fromkeys(k for t in terms for k in t.keys))
-    if df.select(*keys).distinct().limit(MAX_CELLS + 1).count() > MAX_CELLS:
+    cells = collect_cells(df, terms, {v: F.col(v).cast("double") for v in variables}, w, strict=False)
+    if cells is None:
         return alternate(df, terms, variables, weight, suffix, tolerance), None
-    s = solve(collect_cells(df, terms, {v: F.col(v).cast("double") for v in variables}, w), tolerance)
+    s = solve(cells, tolerance)
     fitted = [f"_fit{i}" for i in range(len(variables))]
     joined = join_effects(df, s, fitted)
     return joined.withColumns({o: F.col(v).cast("double") - F.col(f) for o, v, f in zip(out, variables, fitted)}).drop(*fitted), s

@@ -404,3 +404,10 @@ def test_a_cluster_without_a_shared_folder_is_refused(monkeypatch):
     with pytest.raises(AbsorbiaError) as e:
         shared_folder(session("spark://a:7077", None))
     assert e.value.code == "storage.shared_folder"
+
+
+def test_components_on_the_driver_and_in_spark_agree(spark):
+    r = np.random.default_rng(9)
+    pairs = [(int(a), int(b)) for a, b in zip(r.integers(0, 60, 55), r.integers(0, 60, 55))] + [(100 + i, 100 + j) for i in range(40) for j in (i, i + 1)]
+    df = spark.createDataFrame(pairs, "a long, b long")
+    assert levels.component_count(df, ("a",), ("b",)) == levels.component_count(df, ("a",), ("b",), most=3)
