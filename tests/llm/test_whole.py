@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -59,6 +61,31 @@ def test_near_copies_are_all_found(spark):
     assert nearcopies.near_copies(docs.limit(0)).count() == 0
 
 
+def test_parity_sketches_bound_the_difference():
+    draw = np.random.default_rng(3)
+    sets = [np.unique(draw.integers(0, 1 << 64, n, np.uint64)) for n in (0, 1, 5, 63, 64, 65, 200, 1000, 5000)]
+    sets += [np.unique(np.r_[s[: len(s) * 9 // 10], draw.integers(0, 1 << 64, len(s) // 9, np.uint64)]) for s in sets]
+    sketches, (i, j) = [nearcopies.parity(s) for s in sets], np.indices((len(sets), len(sets))).reshape(2, -1)
+    least = nearcopies.least_differences(sketches, i, j)
+    true = np.array([len(np.setxor1d(sets[a], sets[b])) for a, b in zip(i, j)])
+    assert (least <= true).all() and (least[i == j] == 0).all()
+    alike = np.array([nearcopies.alike(len(np.intersect1d(sets[a], sets[b])), len(sets[a]), len(sets[b])) for a, b in zip(i, j)])
+    size = np.array(list(map(len, sets)))
+    assert alike.any() and (9 * least <= size[i] + size[j])[alike].all()
+    others = [nearcopies.parity(draw.integers(0, 1 << 64, 500, np.uint64)) for _ in range(2)]
+    assert 9 * nearcopies.least_differences(others, np.array([0]), np.array([1]))[0] > 1000
+
+
+def test_later_pairs_match_all_pairs():
+    draw = np.random.default_rng(5)
+    base = draw.integers(0, 1 << 64, 60, np.uint64)
+    sets = [np.unique(np.r_[base[: draw.integers(40, 61)], draw.integers(0, 1 << 64, draw.integers(0, 9), np.uint64)]) for _ in range(150)]
+    node, size = np.arange(150), np.array(list(map(len, sets)))
+    batch = lambda key: pa.RecordBatch.from_arrays([pa.array(np.full(150, key)), pa.array(node), pa.array(size << 32), pa.array(node // 3), pa.array([nearcopies.set_fingerprint(s) for s in sets]), pa.array([nearcopies.parity(s) for s in sets])], names=list("abcdef"))
+    got = {(u, v) for b in nearcopies._later_pairs([batch(1), batch(2)]) for u, v in zip(*(c.to_pylist() for c in b.columns))}
+    assert {(u, v) for u in range(150) for v in range(u + 1, 150) if u // 3 != v // 3 and nearcopies.alike(len(np.intersect1d(sets[u], sets[v])), size[u], size[v])} <= got
+
+
 def test_pipeline_drops_a_copy_beyond_three_bits(spark):
     words = prose(300)
     far = lambda t: (simhash.fingerprint(" ".join(words)) ^ simhash.fingerprint(t)).bit_count() > 3
