@@ -35,7 +35,7 @@ SALTS = 64
 #: Nodes of the branch and bound over sequences; a fiftieth of them is the most for one filling.
 NODES = 200_000
 #: Words a Python worker remembers before it starts anew.
-MEMO = 700_000
+MEMO = 500_000
 ODD = re.compile("[\x1c-\x1f]")
 
 # The words of the tokenizer's split pattern, which it applies to lower-cased text.
