@@ -34,7 +34,7 @@ def expand(df: DataFrame, spec, omit=()) -> tuple[DataFrame, list[str]]:
     return df, list(dict.fromkeys(out))
 
 
-def prepare(df: DataFrame, y: str, groups: dict[str, list[str]], absorb, weights, wtype, clusters, time, panel, singletons=True, outcome=None):
+def prepare(df: DataFrame, y, groups: dict[str, list[str]], absorb, weights, wtype, clusters, time, panel, singletons=True, outcome=None):
     """(sample, terms, term redundancies, effective n, history): checked, weighted and pruned."""
     terms = absorb_terms(absorb)
     need = Requirements.of(outcome=y, **groups, weights=weights, cluster=clusters, time=time, panel=panel, absorb=terms)
@@ -87,61 +87,74 @@ def fit_statistics(n: float, k: int, df_a: int, nested: int, rss: float, tss: fl
     return out
 
 
-def ols(df: DataFrame, y: str, x, absorb=None, *, weights: str | None = None, weight_kind: str | None = None, vce: str | None = None, cluster=None, time: str | None = None, panel: str | None = None, kernel: str = "bartlett", bandwidth: float | None = None, dof: str = "pairwise", drop_singletons: bool = True, collinear: str = "warn", omit=(), within: DataFrame | None = None) -> Result:
-    """Weighted least squares of y on x after absorbing fixed effects.
+def ols(df: DataFrame, y: str, x, absorb=None, **options) -> Result:
+    """Weighted least squares of y on x after absorbing fixed effects; for the options see ols_many."""
+    return ols_many(df, [y], x, absorb, **options)[0]
+
+
+def ols_many(df: DataFrame, ys: list[str], x, absorb=None, *, weights: str | None = None, weight_kind: str | None = None, vce: str | None = None, cluster=None, time: str | None = None, panel: str | None = None, kernel: str = "bartlett", bandwidth: float | None = None, dof: str = "pairwise", drop_singletons: bool = True, collinear: str = "warn", omit=()) -> list[Result]:
+    """Least squares of each outcome on the same regressors: one sample, projection and Gram matrix for all.
 
     x: columns and factor terms; absorb: see absorb_terms. Without fixed effects a constant
     `_cons` is added. collinear: warn (drop and record), drop, or raise.
     """
     clusters, wtype = names(cluster), weight_type(weight_kind, weights)
     kind = vce_kind(vce, clusters, wtype)
+    ys = list(dict.fromkeys(ys))
     df, xs = expand(df, x, omit)
-    rows, terms, kept_terms, spanned, history = prepare(df, y, {"regressor": xs}, absorb, weights, wtype, clusters, time, panel, drop_singletons)
-    rows, _ = residualize(rows, kept_terms, [y, *xs], "_w")
+    rows, terms, kept_terms, spanned, history = prepare(df, ys, {"regressor": xs}, absorb, weights, wtype, clusters, time, panel, drop_singletons)
+    rows, _ = residualize(rows, kept_terms, list(dict.fromkeys([*ys, *xs])), "_w")
     if not terms:
         rows, xs = rows.withColumns({"_cons": F.lit(1.0), "_cons_r": F.lit(1.0)}), [*xs, "_cons"]
     rows = rows.persist()
-    w = F.col("_w")
+    w, m = F.col("_w"), len(ys)
     col = lambda c: F.col(f"`{c}_r`")
-    raw = [F.col(f"`{c}`").cast("double") for c in [y, *xs]]
-    totals = rows.agg(F.count(F.lit(1)), F.sum(w), F.sum(w * raw[0]), *[F.sum(w * c * c) for c in raw]).first()
+    raw = [F.col(f"`{c}`").cast("double") for c in [*ys, *xs]]
+    totals = rows.agg(F.count(F.lit(1)), F.sum(w), *[F.sum(w * c) for c in raw[:m]], *[F.sum(w * c * c) for c in raw]).first()
     n = totals[1] if wtype == "fweight" else float(totals[0])
-    g = M.gram(rows, [col(y), *map(col, xs)], weight=w)
-    keep, dropped = independent(g[1:, 1:], np.array(totals[4:], float))
+    squares = np.array(totals[2 + m :], float)
+    g = M.gram(rows, [*map(col, ys), *map(col, xs)], weight=w)
+    keep, dropped = independent(g[m:, m:], squares[m:])
     omitted = [(xs[j], why) for j, why in dropped]
     if omitted and collinear == "raise":
         raise AbsorbiaError("identification.collinear", f"collinear: {omitted}", stage="collinearity")
     used = [xs[j] for j in keep]
-    at = [1 + j for j in keep]
+    at = [m + j for j in keep]
     bread = M.inverse(g[np.ix_(at, at)])
-    beta = bread @ g[at, 0]
-    rss = float(g[0, 0] - 2 * beta @ g[at, 0] + beta @ g[np.ix_(at, at)] @ beta)
-    resid = col(y)
-    for b, c in zip(beta, used):
-        resid = resid - F.lit(float(b)) * col(c)
-    rows = rows.withColumn("_resid", resid)
-    rss = float(rows.agg(F.sum(w * F.col("_resid") ** 2)).first()[0] or 0.0)
+    betas = [bread @ g[at, i] for i in range(m)]
+    resids = []
+    for y, beta in zip(ys, betas):
+        resid = col(y)
+        for b, c in zip(beta, used):
+            resid = resid - F.lit(float(b)) * col(c)
+        resids.append(resid)
+    sums = rows.agg(*[F.sum(w * r**2) for r in resids]).first()
     info = absorbed_dof(rows, terms, clusters if kind == "cluster" else (), dof)
     df_a, nested = info["df_absorbed"], int(info["any_nested"])
     k_total = len(used) + df_a
-    df_resid = max(n - k_total, 1)
-    if kind == "iid":
-        vcov, extra = bread * rss / df_resid, {}
-    else:
-        scores = [w * F.col("_resid") * col(c) for c in used]
-        meat, extra = score_meat(rows, scores, kind, clusters, time, panel, kernel, bandwidth, wtype)
-        vcov = bread @ meat @ bread * small_sample(kind, n, k_total, nested, extra)
-        if kind == "cluster" and len(clusters) > 1 and used:
-            vcov = M.repair_scaled(vcov, rows, used)
-        if kind == "cluster":
-            df_resid = min(df_resid, min(extra["clusters"]) - 1)
-        if kind == "dkraay":
-            df_resid = min(df_resid, extra["periods"] - 1)
-    tss = float(totals[3] - totals[2] ** 2 / totals[1])
     slopes = [i for i, c in enumerate(used) if c != "_cons"]
-    within_tss = float(g[0, 0]) if terms else tss
-    stats = fit_statistics(n, len(slopes), df_a if terms else 1, nested, rss, tss, within_tss, beta, vcov, slopes)
-    if slopes and not math.isnan(stats["f"]):
-        stats["f_p"] = dist.f_sf(stats["f"], len(slopes), df_resid)
-    stats |= {"levels": info["levels"], "redundant": info["redundant"], "vce": kind, **extra}
-    return Result(used, beta, vcov, float(df_resid), stats, omitted + spanned, history, rows, None, "ols", terms, y)
+    out = []
+    for i, (y, beta, resid) in enumerate(zip(ys, betas, resids)):
+        rss = float(sums[i] or 0.0)
+        fitted = rows.withColumn("_resid", resid)
+        df_resid = max(n - k_total, 1)
+        if kind == "iid":
+            vcov, extra = bread * rss / df_resid, {}
+        else:
+            scores = [w * F.col("_resid") * col(c) for c in used]
+            meat, extra = score_meat(fitted, scores, kind, clusters, time, panel, kernel, bandwidth, wtype)
+            vcov = bread @ meat @ bread * small_sample(kind, n, k_total, nested, extra)
+            if kind == "cluster" and len(clusters) > 1 and used:
+                vcov = M.repair_scaled(vcov, fitted, used)
+            if kind == "cluster":
+                df_resid = min(df_resid, min(extra["clusters"]) - 1)
+            if kind == "dkraay":
+                df_resid = min(df_resid, extra["periods"] - 1)
+        tss = float(squares[i] - totals[2 + i] ** 2 / totals[1])
+        within_tss = float(g[i, i]) if terms else tss
+        stats = fit_statistics(n, len(slopes), df_a if terms else 1, nested, rss, tss, within_tss, beta, vcov, slopes)
+        if slopes and not math.isnan(stats["f"]):
+            stats["f_p"] = dist.f_sf(stats["f"], len(slopes), df_resid)
+        stats |= {"levels": info["levels"], "redundant": info["redundant"], "vce": kind, **extra}
+        out.append(Result(used, beta, vcov, float(df_resid), stats, omitted + spanned, list(history), fitted, None, "ols", terms, y))
+    return out

@@ -80,7 +80,7 @@ def wild_cluster_test(result, cluster: str, term: str, value: float = 0.0, reps:
     t = t[np.isfinite(t)]
     if len(t) < 0.95 * total:
         raise AbsorbiaError("resampling.draws", "too few finite draws", stage="resampling")
-    extreme = int((np.abs(t) >= abs(observed) - 1e-12).sum())
+    extreme = int((np.abs(t) >= abs(observed) * (1 - 1e-10)).sum())
     return {"statistic": float(observed), "p_value": extreme / len(t) if exact else (1 + extreme) / (len(t) + 1), "draws": len(t), "exact": exact, "clusters": count}
 
 

@@ -12,7 +12,7 @@ from absorbia.sources.cache import ResultStore
 from absorbia.sources.readers import project, source_fingerprint
 
 from .iv import iv
-from .ols import ols
+from .ols import ols, ols_many
 
 
 class Session:
@@ -50,7 +50,17 @@ class Session:
         return [self.fit(**s) for s in specs]
 
     def fit_many_y(self, outcomes: list[str], **spec) -> list:
-        return [self.fit(y=y, **spec) for y in outcomes]
+        """Fits of several outcomes; those of least squares not yet done share one projection."""
+        if "endog" in spec:
+            return [self.fit(y=y, **spec) for y in outcomes]
+        keys = {y: self._key("ols", {"y": y, **spec}) for y in outcomes}
+        new = [y for y, key in keys.items() if key not in self.done]
+        self.hits += len(outcomes) - len(new)
+        for y, result in zip(new, ols_many(self.frame, new, **spec) if new else []):
+            self.done[keys[y]] = result
+            if self.store:
+                self.store.save_result(keys[y], result.publication())
+        return [self.done[keys[y]] for y in outcomes]
 
     def close(self) -> None:
         self.frame.unpersist()

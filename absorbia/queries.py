@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from absorbia.functions import dist, kernels
 from absorbia.operators import checks, groups, levels, resampling, sample
@@ -17,6 +18,9 @@ from absorbia.operators.results import predict
 from absorbia.operators.session import Session
 from absorbia.plans.factors import base_level, design, fv
 from absorbia.plans.specs import fe
+from absorbia.sources.cache import ResultStore
+from absorbia.sources.readers import read
+from absorbia.sources.scratch import shared_folder
 from absorbia.streaming import windowed_moments
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,7 +134,8 @@ def zero_outcome_peel(spark, sf_dir):
     return sample.prune(_events(spark, sf_dir), _PEEL, outcome="y")[0].select("event_id", "user_id")
 
 
-@query()
+@query("""WITH c AS (SELECT count(DISTINCT c_nationkey) AS n, count(DISTINCT c_mktsegment) AS s, count(DISTINCT (c_nationkey, c_mktsegment)) AS b FROM customer)
+SELECT unnest(['pairwise', 'firstpair', 'none', 'exact']) AS method, CAST(unnest([n + s + b - 1 - greatest(n, s), n + s + b - 2, n + s + b - 2, b]) AS BIGINT) AS df_absorbed FROM c""")
 def absorbed_dof_exact(spark, sf_dir):
     s = _t(spark, sf_dir, "customer")
     rows = []
@@ -213,6 +218,41 @@ def ols_oneway_two_clusters(spark, sf_dir):
     return _coefs(spark, _of(_one(spark, sf_dir, cluster=["l_suppkey", "l_partkey"])))
 
 
+_WEIGHTED = [("aweight iid", "aw", None), ("aweight robust", "aw", "robust"), ("pweight", "aw", None), ("fweight iid", "l_linenumber", None), ("fweight robust", "l_linenumber", "robust")]
+
+
+def _weighted_sql(label: str, column: str, vce: str | None) -> str:
+    counted = label.startswith("fweight")
+    weight, scale, n = ("l_linenumber", "1", "s") if counted else ("1 + l_tax", "c / s", "c")
+    iid = vce is None and label != "pweight"
+    meat = "sum(w * e * e) * any_value(sxx)" if iid else "sum(w * x * x * e * e)" if counted else "sum(w * w * x * x * e * e)"
+    factor = f"1.0 / ({n} - 1 - g)" if iid else f"{n} / ({n} - 1 - g)"
+    return f"""SELECT '{label}' AS term, round(b, 6) AS estimate, round(sqrt(meat * {factor}) / sxx, 6) AS std_error FROM (SELECT b, sxx, c, s, g, {meat} AS meat FROM (SELECT *, y - b * x AS e
+FROM (SELECT *, sum(w * x * y) OVER () / sum(w * x * x) OVER () AS b, sum(w * x * x) OVER () AS sxx FROM (SELECT c, s, g, v * {scale} AS w, y - sum(v * y) OVER k / sum(v) OVER k AS y, x - sum(v * x) OVER k / sum(v) OVER k AS x
+FROM (SELECT l_suppkey, CAST({weight} AS DOUBLE) AS v, l_extendedprice AS y, l_quantity AS x, count(*) OVER () AS c, sum(CAST({weight} AS DOUBLE)) OVER () AS s, (SELECT count(DISTINCT l_suppkey) FROM lineitem) AS g FROM lineitem) WINDOW k AS (PARTITION BY l_suppkey)))) GROUP BY ALL)"""
+
+
+@query(" UNION ALL ".join(_weighted_sql(*case) for case in _WEIGHTED))
+def ols_weighted(spark, sf_dir):
+    li, rows = _t(spark, sf_dir, "lineitem").withColumn("aw", 1 + F.col("l_tax")), []
+    for label, column, vce in _WEIGHTED:
+        r = ols(li, "l_extendedprice", "l_quantity", "l_suppkey", weights=column, weight_kind=label.split()[0], vce=vce)
+        rows.append((label, r.beta[0], r.se[0]))
+    return _coefs(spark, rows)
+
+
+@query("""WITH w AS (SELECT l_extendedprice - avg(l_extendedprice) OVER (PARTITION BY l_suppkey) AS y, l_quantity - avg(l_quantity) OVER (PARTITION BY l_suppkey) AS x, l_tax - avg(l_tax) OVER (PARTITION BY l_suppkey) AS z FROM lineitem),
+m AS (SELECT sum(x * x) AS a, sum(x * z) AS b, sum(z * z) AS c, sum(x * y) AS d, sum(z * y) AS e, sum(y * y) AS f, count(*) - 2 - (SELECT count(DISTINCT l_suppkey) FROM lineitem) AS df FROM w),
+s AS (SELECT *, (c * d - b * e) / (a * c - b * b) AS u, (a * e - b * d) / (a * c - b * b) AS v FROM m), q AS (SELECT *, (f - u * d - v * e) / df AS s2 FROM s)
+SELECT 'combination' AS name, round(u + 2 * v, 4) AS value FROM q UNION ALL SELECT 'combination_se', round(sqrt(s2 * (c - 4 * b + 4 * a) / (a * c - b * b)), 4) FROM q
+UNION ALL SELECT 'wald_f', round((a * u * u + 2 * b * u * v + c * v * v) / 2 / s2, 3) FROM q UNION ALL SELECT 'wald_f_one', round(v * v / (s2 * a / (a * c - b * b)), 6) FROM q""")
+def linear_tests(spark, sf_dir):
+    r = ols(_t(spark, sf_dir, "lineitem"), "l_extendedprice", ["l_quantity", "l_tax"], "l_suppkey")
+    c = r.linear_combination({"l_quantity": 1.0, "l_tax": 2.0})
+    values = {"combination": (c["estimate"], 4), "combination_se": (c["std_error"], 4), "wald_f": (r.wald([{"l_quantity": 1.0}, {"l_tax": 1.0}])["statistic"], 3), "wald_f_one": (r.wald([{"l_tax": 1.0}])["statistic"], 6)}
+    return spark.createDataFrame([(k, round(float(v), d)) for k, (v, d) in values.items()], "name string, value double")
+
+
 _X = "x1x1 AS (SELECT sum(x1 * x1) a, sum(x1 * x2) b, sum(x2 * x2) c, sum(x1 * y) d, sum(x2 * y) e FROM LAST)"
 
 
@@ -309,6 +349,28 @@ def wild_cluster_bootstrap(spark, sf_dir):
     return _value(spark, {k: float(v) for k, v in r.items()})
 
 
+@query("""WITH w AS (SELECT l_linenumber AS c, l_tax - avg(l_tax) OVER (PARTITION BY l_suppkey) AS y, l_quantity - avg(l_quantity) OVER (PARTITION BY l_suppkey) AS x FROM lineitem),
+c AS (SELECT row_number() OVER (ORDER BY c) - 1 AS i, sum(x * y) AS sy, sum(x * x) AS g FROM w GROUP BY c),
+a AS (SELECT sum(sy) / sum(g) AS b, sum(g) AS gg, count(*) AS m FROM c),
+o AS (SELECT any_value(b) * any_value(gg) / sqrt(sum((sy - g * b) * (sy - g * b))) AS t FROM c, a),
+d AS (SELECT r, c.g, (((r >> i) & 1) * 2 - 1) * sy AS v, sum((((r >> i) & 1) * 2 - 1) * sy) OVER (PARTITION BY r) / gg AS b, gg FROM a, range(0, CAST(pow(2, (SELECT count(*) FROM c)) AS BIGINT)) AS q(r), c),
+s AS (SELECT r, any_value(b) * any_value(gg) / sqrt(sum((v - g * b) * (v - g * b))) AS t FROM d GROUP BY r)
+SELECT 'statistic' AS name, round(t, 6) AS value FROM o UNION ALL SELECT 'p_value', round(avg(CASE WHEN abs(s.t) >= abs(o.t) * (1 - 1e-10) THEN 1.0 ELSE 0.0 END), 6) FROM s, o
+UNION ALL SELECT 'draws', count(*) FROM s UNION ALL SELECT 'exact', 1 UNION ALL SELECT 'clusters', m FROM a""")
+def wild_bootstrap_all_signs(spark, sf_dir):
+    r = ols(_t(spark, sf_dir, "lineitem"), "l_tax", "l_quantity", "l_suppkey", cluster="l_linenumber")
+    return _value(spark, {k: float(v) for k, v in resampling.wild_cluster_test(r, "l_linenumber", "l_quantity").items()})
+
+
+@query("SELECT count(DISTINCT l_suppkey) AS draws, CAST(0 AS BIGINT) AS broken FROM lineitem")
+def cluster_draws(spark, sf_dir):
+    """Every draw has an id of its own and all rows of one cluster."""
+    li = _t(spark, sf_dir, "lineitem").select("l_suppkey")
+    drawn = resampling.draw_clusters(li, "l_suppkey", 7).groupBy("_draw").agg(F.count("*").alias("n"), F.count_distinct("l_suppkey").alias("k"), F.min("l_suppkey").alias("l_suppkey"))
+    sizes = li.groupBy("l_suppkey").agg(F.count("*").alias("size"))
+    return drawn.join(sizes, "l_suppkey").agg(F.count("*").alias("draws"), F.count_if((F.col("k") != 1) | (F.col("n") != F.col("size"))).alias("broken"))
+
+
 # --- factors -----------------------------------------------------------------------------------
 
 
@@ -349,12 +411,30 @@ def first_stage(spark, sf_dir):
     return spark.createDataFrame([("partial_r2", round(f["partial_r2"], 6)), ("f", round(f["f"], 3)), ("cragg_donald_f", round(s["cragg_donald_f"], 3))], "name string, value double")
 
 
-@query()
+@query("""WITH d AS (SELECT l_suppkey, l_extendedprice AS y, l_quantity AS x, l_quantity * 0.5 + l_tax * 10 AS p, CAST(l_linenumber AS DOUBLE) AS q FROM lineitem),
+w AS (SELECT y - avg(y) OVER s AS y, x - avg(x) OVER s AS x, p - avg(p) OVER s AS p, q - avg(q) OVER s AS q FROM d WINDOW s AS (PARTITION BY l_suppkey)),
+m AS (SELECT sum(p * p) AS pp, sum(p * q) AS pq, sum(q * q) AS qq, sum(p * x) AS px, sum(q * x) AS qx, sum(p * y) AS py, sum(q * y) AS qy, sum(x * x) AS xx, sum(x * y) AS xy, sum(y * y) AS yy, count(*) AS n, (SELECT count(DISTINCT l_suppkey) FROM d) AS g FROM w),
+a AS (SELECT *, pp * qq - pq * pq AS det FROM m),
+f AS (SELECT *, (qq * px * px - 2 * pq * px * qx + pp * qx * qx) / det AS fxx, (qq * px * py - pq * (px * qy + qx * py) + pp * qx * qy) / det AS fxy, (qq * py * py - 2 * pq * py * qy + pp * qy * qy) / det AS fyy, (qq * px - pq * qx) / det AS cp, (pp * qx - pq * px) / det AS cq FROM a),
+e AS (SELECT *, (yy - fyy) * (xx - fxx) - (xy - fxy) * (xy - fxy) AS ea, -(yy * (xx - fxx) + xx * (yy - fyy) - 2 * xy * (xy - fxy)) AS eb, yy * xx - xy * xy AS ec FROM f),
+k AS (SELECT *, (-eb - sqrt(eb * eb - 4 * ea * ec)) / (2 * ea) AS liml FROM e),
+t AS (SELECT '2sls' AS estimator, 1.0 AS kk, * FROM k UNION ALL SELECT 'liml', liml, * FROM k UNION ALL SELECT 'fuller', liml - 1.0 / (n - 2 - g), * FROM k UNION ALL SELECT 'kclass', 0.5, * FROM k),
+b AS (SELECT *, (1 - kk) * xx + kk * fxx AS bread, ((1 - kk) * xy + kk * fxy) / ((1 - kk) * xx + kk * fxx) AS beta FROM t),
+r AS (SELECT *, yy - 2 * beta * xy + beta * beta * xx AS rss FROM b),
+v AS (SELECT fxy / fxx AS b0, cp, cq FROM f),
+s AS (SELECT sum((y - b0 * x) * (y - b0 * x) * p * p) AS spp, sum((y - b0 * x) * (y - b0 * x) * p * q) AS spq, sum((y - b0 * x) * (y - b0 * x) * q * q) AS sqq,
+sum(x * x * p * p) AS lpp, sum(x * x * p * q) AS lpq, sum(x * x * q * q) AS lqq, sum(u * u * p * p) AS upp, sum(u * u * p * q) AS upq, sum(u * u * q * q) AS uqq FROM (SELECT *, x - cp * p - cq * q AS u FROM w, v)),
+h AS (SELECT *, spp * sqq - spq * spq AS sd FROM s, f),
+o AS (SELECT *, (sqq * px * px - 2 * spq * px * qx + spp * qx * qx) / sd AS hxx, (sqq * px * py - spq * (px * qy + qx * py) + spp * qx * qy) / sd AS hxy, (sqq * py * py - 2 * spq * py * qy + spp * qy * qy) / sd AS hyy FROM h)
+SELECT estimator, round(beta, 5) AS estimate, round(sqrt(rss / (n - 1 - g) * ((1 - kk) * (1 - kk) * xx + (2 * kk * (1 - kk) + kk * kk) * fxx)) / abs(bread), 5) AS std_error,
+round((fyy - 2 * beta * fxy + beta * beta * fxx) / (rss / n), 5) AS j, round(n * fxx / xx, 4) AS kp_lm, round(fxx / (xx - fxx) * (n - g - 2) / 2, 1) AS kp_f FROM r
+UNION ALL SELECT 'gmm2s', round(hxy / hxx, 5), round(sqrt(n / (n - 1 - g) / hxx), 5), round(hyy - hxy * hxy / hxx, 5), round((lqq * px * px - 2 * lpq * px * qx + lpp * qx * qx) / (lpp * lqq - lpq * lpq), 4),
+round((uqq * wp * wp - 2 * upq * wp * wq + upp * wq * wq) / (upp * uqq - upq * upq) / 2 * (n - g - 2) / n, 1) FROM (SELECT *, px AS wp, qx AS wq FROM o)""")
 def iv_estimators(spark, sf_dir):
     rows = []
     for name, kw in (("2sls", {}), ("liml", {"estimator": "liml"}), ("fuller", {"estimator": "liml", "fuller": 1.0}), ("kclass", {"estimator": "kclass", "kappa": 0.5}), ("gmm2s", {"estimator": "gmm2s", "vce": "robust"})):
         r = _iv(spark, sf_dir, instruments=["z", "l_linenumber"], **kw)
-        rows.append((name, float(r.beta[0]), float(r.se[0]), float(r.stats["j"]), float(r.stats["kp_lm"]), float(r.stats["kp_f"])))
+        rows.append((name, *(round(float(v), d) for v, d in ((r.beta[0], 5), (r.se[0], 5), (r.stats["j"], 5), (r.stats["kp_lm"], 4), (r.stats["kp_f"], 1)))))
     return spark.createDataFrame(rows, "estimator string, estimate double, std_error double, j double, kp_lm double, kp_f double")
 
 
@@ -379,7 +459,37 @@ def ivppml_oneway(spark, sf_dir):
     return _coefs(spark, _of(ivppml(_t(spark, sf_dir, "lineitem"), "l_quantity", "l_discount", "l_tax", "l_linenumber", "l_suppkey")))
 
 
-@query()
+def _fitted(rows: DataFrame, sums: dict[str, object]) -> DataFrame:
+    """(moment, level, total) of the fitted means, by level of a column or weighted by one."""
+    out = None
+    for name, part in sums.items():
+        if part is None:
+            one = rows.groupBy(F.col(name).cast("long").alias("level")).agg(F.sum("_mu").alias("total"))
+        else:
+            one = rows.agg(F.sum(F.col("_mu") * part).alias("total")).select(F.lit(None).cast("long").alias("level"), "total")
+        one = one.select(F.lit(name).alias("moment"), "level", F.round("total", 1).alias("total"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("""SELECT 'l_suppkey' AS moment, CAST(l_suppkey AS BIGINT) AS level, round(sum(CAST(l_quantity AS DOUBLE)), 1) AS total FROM lineitem GROUP BY l_suppkey
+UNION ALL SELECT 'l_partkey', CAST(l_partkey AS BIGINT), round(sum(CAST(l_quantity AS DOUBLE)), 1) FROM lineitem GROUP BY l_partkey
+UNION ALL SELECT 'l_discount', NULL, round(sum(l_quantity * l_discount), 1) FROM lineitem UNION ALL SELECT 'l_tax', NULL, round(sum(l_quantity * l_tax), 1) FROM lineitem""")
+def ppml_two_way_moments(spark, sf_dir):
+    """The score equations: fitted totals are those of the outcome, by level and by regressor."""
+    r = ppml(_t(spark, sf_dir, "lineitem"), "l_quantity", ["l_discount", "l_tax"], ["l_suppkey", "l_partkey"], separation=(), tolerance=1e-12)
+    return _fitted(r.rows, {"l_suppkey": None, "l_partkey": None, "l_discount": F.col("l_discount"), "l_tax": F.col("l_tax")})
+
+
+@query("""SELECT 'l_suppkey' AS moment, CAST(l_suppkey AS BIGINT) AS level, round(sum(CAST(l_quantity AS DOUBLE)), 1) AS total FROM lineitem GROUP BY l_suppkey
+UNION ALL SELECT 'l_discount', NULL, round(sum(l_quantity * l_discount), 1) FROM lineitem UNION ALL SELECT 'l_linenumber', NULL, round(sum(CAST(l_quantity * l_linenumber AS DOUBLE)), 1) FROM lineitem""")
+def ivppml_moments(spark, sf_dir):
+    """The additive moments at zero: fitted totals by supplier, by control and by instrument."""
+    r = ivppml(_t(spark, sf_dir, "lineitem"), "l_quantity", "l_discount", "l_tax", "l_linenumber", "l_suppkey", tolerance=1e-12)
+    return _fitted(r.rows, {"l_suppkey": None, "l_discount": F.col("l_discount"), "l_linenumber": F.col("l_linenumber")})
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_discount > 0.095")
 def separation_relu(spark, sf_dir):
     df = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", F.when(F.col("l_discount") > 0.095, 0.0).otherwise(F.col("l_quantity")).alias("y"), F.when(F.col("l_discount") > 0.095, 1.0).otherwise(0.0).alias("d"))
     bad, _ = separated_rows(df, [fe("l_suppkey")], ["d"], "y")
@@ -398,6 +508,69 @@ def windowed_sums(spark, sf_dir):
     return windowed_moments(_t(spark, sf_dir, "events"), "ts", "value", []).select("start", "n", F.round("m0_1", 4).alias("m0_1"))
 
 
+@query("SELECT 'cust' AS term, CAST(3 AS DOUBLE) AS estimate")
+def group_individual_exact(spark, sf_dir):
+    """An outcome made of 3 x the regressor and the mean of known effects of its members."""
+    li = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").distinct()
+    o = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").cast("double").alias("cust"))
+    made = li.join(o, "l_orderkey").withColumn("y", 3 * F.col("cust") + F.avg(F.col("l_partkey") % 7).over(Window.partitionBy("l_orderkey")))
+    r = groups.group_ols(made, "y", ["cust"], "l_orderkey", "l_partkey")
+    return spark.createDataFrame([(t, round(float(b), 6)) for t, b in zip(r.names, r.beta)], "term string, estimate double")
+
+
+@query("""WITH p AS (SELECT l_partkey AS k, CAST(l_partkey % 7 AS DOUBLE) AS e FROM lineitem GROUP BY 1), s AS (SELECT l_suppkey AS k, CAST(l_suppkey % 5 AS DOUBLE) AS e FROM lineitem GROUP BY 1)
+SELECT 'l_suppkey' AS term, CAST(k AS BIGINT) AS level, round(e + (SELECT avg(e) FROM p), 5) AS effect FROM s UNION ALL SELECT 'l_partkey', CAST(k AS BIGINT), round(e - (SELECT avg(e) FROM p), 5) FROM p""")
+def effects_two_way(spark, sf_dir):
+    """Known effects of suppliers and parts, recovered up to the shift that the mean of the parts fixes."""
+    li = _t(spark, sf_dir, "lineitem").withColumn("y", 2.0 * F.col("l_discount") + F.col("l_suppkey") % 5 + F.col("l_partkey") % 7)
+    first, second = recover(ols(li, "y", "l_discount", ["l_suppkey", "l_partkey"], drop_singletons=False))
+    one = lambda t, x: x.select(F.lit(t.name).alias("term"), F.col(t.keys[0]).cast("long").alias("level"), F.round("effect", 5).alias("effect"))
+    return one(*first).unionByName(one(*second))
+
+
+@query("SELECT l_orderkey, l_linenumber, round(2.0 * l_discount + l_suppkey % 5 + l_partkey % 7, 5) AS prediction FROM lineitem")
+def predict_response(spark, sf_dir):
+    li = _t(spark, sf_dir, "lineitem").withColumn("y", 2.0 * F.col("l_discount") + F.col("l_suppkey") % 5 + F.col("l_partkey") % 7)
+    r = ols(li, "y", "l_discount", ["l_suppkey", "l_partkey"], drop_singletons=False)
+    return predict(r, li, "response").select("l_orderkey", "l_linenumber", F.round("prediction", 5).alias("prediction"))
+
+
+@query("SELECT c_mktsegment, CAST(count(*) AS BIGINT) AS n, CAST(sum(c_custkey) AS BIGINT) AS keys FROM customer GROUP BY 1")
+def csv_source(spark, sf_dir):
+    """The customers written as CSV and read back through the reader, two columns of them."""
+    path = f"{shared_folder(spark)}/absorbia/customers-{uuid.uuid4().hex}.csv"
+    _t(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment").write.option("header", True).csv(path)
+    df = read(spark, path, ["c_mktsegment", "c_custkey"], schema="c_custkey long, c_name string, c_mktsegment string")
+    return df.groupBy("c_mktsegment").agg(F.count("*").alias("n"), F.sum("c_custkey").alias("keys"))
+
+
+_DK_KERNELS = ("truncated", "parzen", "thann", "thamm", "qs", "daniell", "tent")
+
+
+@query(_DK.partition("m AS (")[0] + "p AS (SELECT p.s * q.s AS s, abs(p.day - q.day) AS lag, abs(p.day - q.day) / 4.0 AS x FROM s p JOIN s q ON true), " + "m AS (" + " UNION ALL ".join(f"SELECT '{k}' AS term, sum(s * CASE WHEN lag = 0 THEN 1 ELSE {_LAG_KERNELS[k]} END) AS meat FROM p" for k in _DK_KERNELS) + ") SELECT term, round(b, 8) AS estimate, round(sqrt(greatest(meat, 0) * (n - 1) / (n - 1 - g) * t / (t - 1)) / sxx, 8) AS std_error FROM b, m")
+def driscoll_kraay_kernels(spark, sf_dir):
+    df, rows = _daily(spark, sf_dir).persist(), []
+    for k in _DK_KERNELS:
+        r = ols(df, "value", "hr", "user_id", vce="dkraay", time="day", bandwidth=4, kernel=k, drop_singletons=False)
+        rows.append((k, r.beta[0], r.se[0]))
+    df.unpersist()
+    return _coefs(spark, rows, 8)
+
+
+@query(f"WITH {_ONE} SELECT 'l_quantity' AS term, round(b, 6) AS estimate, round(sqrt(sxx * (SELECT sum(e * e) FROM e) / (n - 1 - g)) / sxx, 6) AS std_error, CAST(1 AS BIGINT) AS hits, true AS kept FROM b")
+def session_store(spark, sf_dir):
+    """A fit repeated within a session, and published again by a second one from the store."""
+    folder = f"{shared_folder(spark)}/absorbia/results-{uuid.uuid4().hex}"
+    spec = {"y": "l_extendedprice", "x": ["l_quantity"], "absorb": "l_suppkey"}
+    first = Session(_t(spark, sf_dir, "lineitem"), [spec], ResultStore(spark, folder))
+    first.fit_many([spec, spec])
+    second = Session(_t(spark, sf_dir, "lineitem"), [spec], ResultStore(spark, folder))
+    p = second.published(**spec)
+    out = spark.createDataFrame([(p["terms"][0], round(p["estimates"][0], 6), round(p["std_errors"][0], 6), first.hits, not second.done)], "term string, estimate double, std_error double, hits long, kept boolean")
+    first.close(), second.close()
+    return out
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two-way fixed effects with clustered errors: the coefficient table."""
     return ols(_t(spark, sf_dir, "lineitem"), "l_extendedprice", ["l_quantity", "l_discount"], ["l_suppkey", "l_partkey"], cluster="l_suppkey").coef_table(spark)
