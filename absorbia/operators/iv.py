@@ -7,8 +7,9 @@ import math
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from absorbia.errors import AbsorbiaError
+from absorbia.errors import AbsorbiaError, boundary
 from absorbia.functions import dist
+from absorbia.plans.config import singleton_mode as policy
 from absorbia.plans.specs import names, vce_kind, weight_type
 
 from . import moments as M
@@ -17,12 +18,32 @@ from .levels import absorbed_dof, independent
 from .ols import expand, fit_statistics, prepare, score_meat, small_sample
 from .results import Result
 
-# Stock-Yogo critical values for one endogenous regressor, 10 % and 15 % maximal size,
-# and 5 % and 10 % maximal relative bias, by number of instruments.
-SIZE_10 = {1: 16.38, 2: 19.93, 3: 22.30, 4: 24.58, 5: 26.87, 6: 29.18, 7: 31.50, 8: 33.84, 9: 36.19, 10: 38.54}
-SIZE_15 = {1: 8.96, 2: 11.59, 3: 12.83, 4: 13.96, 5: 15.09, 6: 16.23, 7: 17.38, 8: 18.54, 9: 19.71, 10: 20.88}
-BIAS_05 = {3: 13.91, 4: 16.85, 5: 18.37, 6: 19.28, 7: 19.86, 8: 20.25, 9: 20.53, 10: 20.74}
-BIAS_10 = {3: 9.08, 4: 10.27, 5: 10.83, 6: 11.12, 7: 11.29, 8: 11.39, 9: 11.46, 10: 11.49}
+# Stock-Yogo critical values by level in per cent and number of endogenous regressors.
+# Maximal size: from as many instruments as endogenous regressors up to ten.
+SIZE = {
+    10: {1: [16.38, 19.93, 22.30, 24.58, 26.87, 29.18, 31.50, 33.84, 36.19, 38.54], 2: [7.03, 13.43, 16.87, 19.45, 21.68, 23.72, 25.64, 27.51, 29.32]},
+    15: {1: [8.96, 11.59, 12.83, 13.96, 15.09, 16.23, 17.38, 18.54, 19.71, 20.88], 2: [4.58, 8.18, 9.93, 11.22, 12.33, 13.34, 14.31, 15.24, 16.16]},
+    20: {1: [6.66, 8.75, 9.54, 10.26, 10.98, 11.72, 12.48, 13.24, 14.01, 14.78], 2: [3.95, 6.40, 7.54, 8.38, 9.10, 9.77, 10.41, 11.03, 11.65]},
+    25: {1: [5.53, 7.25, 7.80, 8.31, 8.84, 9.38, 9.93, 10.50, 11.07, 11.65], 2: [3.63, 5.45, 6.28, 6.89, 7.42, 7.91, 8.39, 8.85, 9.31]},
+}
+# Maximal relative bias: from two instruments more than endogenous regressors up to ten.
+BIAS = {
+    5: {1: [13.91, 16.85, 18.37, 19.28, 19.86, 20.25, 20.53, 20.74], 2: [11.04, 13.97, 15.72, 16.88, 17.70, 18.30, 18.76], 3: [9.53, 12.20, 13.95, 15.18, 16.10, 16.80]},
+    10: {1: [9.08, 10.27, 10.83, 11.12, 11.29, 11.39, 11.46, 11.49], 2: [7.56, 8.78, 9.48, 9.92, 10.22, 10.43, 10.58], 3: [6.61, 7.77, 8.50, 9.01, 9.37, 9.64]},
+    20: {1: [6.46, 6.71, 6.77, 6.76, 6.73, 6.69, 6.65, 6.61], 2: [5.57, 5.91, 6.08, 6.16, 6.20, 6.22, 6.23], 3: [4.99, 5.35, 5.56, 5.69, 5.78, 5.83]},
+    30: {1: [5.39, 5.34, 5.25, 5.15, 5.07, 4.99, 4.92, 4.86], 2: [4.73, 4.79, 4.78, 4.76, 4.73, 4.69, 4.66], 3: [4.30, 4.40, 4.44, 4.46, 4.46, 4.45]},
+}
+
+
+def critical_values(endogenous: int, excluded: int) -> dict[str, float]:
+    """size_10 ... bias_30 for the numbers of endogenous regressors and excluded instruments, where published."""
+    out = {}
+    for kind, table, spare in (("size", SIZE, 0), ("bias", BIAS, 2)):
+        for level, rows in table.items():
+            values, at = rows.get(endogenous, []), excluded - endogenous - spare
+            if 0 <= at < len(values):
+                out[f"{kind}_{level:02d}"] = values[at]
+    return out
 
 
 def least_root(a: np.ndarray, b: np.ndarray) -> float:
@@ -32,8 +53,10 @@ def least_root(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.linalg.eigvalsh((half + half.T) / 2).min())
 
 
-def iv(df: DataFrame, y: str, exog, endog, instruments, absorb=None, *, estimator: str = "2sls", kappa: float | None = None, fuller: float = 0.0, weights: str | None = None, weight_kind: str | None = None, vce: str | None = None, cluster=None, time: str | None = None, panel: str | None = None, kernel: str = "bartlett", bandwidth: float | None = None, dof: str = "pairwise", drop_singletons: bool = True, on_stage=None) -> Result:
+@boundary("iv")
+def iv(df: DataFrame, y: str, exog, endog, instruments, absorb=None, *, estimator: str = "2sls", kappa: float | None = None, fuller: float = 0.0, weights: str | None = None, weight_kind: str | None = None, vce: str | None = None, cluster=None, time: str | None = None, panel: str | None = None, kernel: str = "bartlett", bandwidth: float | None = None, dof: str = "pairwise", drop_singletons: bool = True, singleton_mode: str = "stata_compat", on_stage=None) -> Result:
     """2SLS, LIML (with Fuller's correction), k-class, or two-step GMM (gmm2s)."""
+    policy(singleton_mode)
     if estimator not in ("2sls", "liml", "kclass", "gmm2s"):
         raise AbsorbiaError("specification.estimator", f"unknown estimator {estimator!r}", stage="specification")
     if estimator == "kclass" and kappa is None:
@@ -46,7 +69,7 @@ def iv(df: DataFrame, y: str, exog, endog, instruments, absorb=None, *, estimato
     rows, _ = residualize(rows, kept_terms, [y, *c, *e, *z], "_w")
     if not terms:
         rows, c = rows.withColumns({"_cons": F.lit(1.0), "_cons_r": F.lit(1.0)}), [*c, "_cons"]
-    rows = rows.persist()
+    rows = held = rows.persist()
     w = F.col("_w")
     col = lambda v: F.col(f"`{v}_r`")
     order = [y, *c, *e, *z]
@@ -162,7 +185,7 @@ def iv(df: DataFrame, y: str, exog, endog, instruments, absorb=None, *, estimato
     stats |= kleibergen_paap(rows, g, order, endog_used, [v for v in xs if v in c], excluded, n, df_a, kind, meat_of, w, col)
     if on_stage:
         on_stage("diagnostics", stats)
-    return Result(xs, beta, vcov, float(df_resid), stats, omitted + spanned, history, rows, None, f"iv-{estimator}", terms, y)
+    return Result(xs, beta, vcov, float(df_resid), stats, omitted + spanned, history, rows, None, f"iv-{estimator}", terms, y, held)
 
 
 def _partial(g, order, columns, controls):
@@ -206,10 +229,7 @@ def weak_instruments(g, order, endog, controls, excluded, n, df_a) -> dict:
     df2 = n - df_a - len(controls) - l
     cd = least_root(fitted, ee - fitted) * df2 / l
     out = {"cragg_donald_f": cd}
-    if m == 1:
-        for name, values in (("size_10", SIZE_10), ("size_15", SIZE_15), ("bias_05", BIAS_05), ("bias_10", BIAS_10)):
-            if l in values:
-                out[f"stock_yogo_{name}"] = values[l]
+    out |= {f"stock_yogo_{name}": value for name, value in critical_values(m, l).items()}
     return out
 
 

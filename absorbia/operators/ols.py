@@ -7,8 +7,9 @@ import math
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from absorbia.errors import AbsorbiaError
+from absorbia.errors import AbsorbiaError, boundary
 from absorbia.functions import dist
+from absorbia.plans.config import singleton_mode as policy
 from absorbia.plans.factors import Factors, design
 from absorbia.plans.specs import Requirements, absorb_terms, names, vce_kind, weight_type
 from absorbia.sources.readers import project
@@ -34,7 +35,7 @@ def expand(df: DataFrame, spec, omit=()) -> tuple[DataFrame, list[str]]:
     return df, list(dict.fromkeys(out))
 
 
-def prepare(df: DataFrame, y, groups: dict[str, list[str]], absorb, weights, wtype, clusters, time, panel, singletons=True, outcome=None):
+def prepare(df: DataFrame, y, groups: dict[str, list[str]], absorb, weights, wtype, clusters, time, panel, singletons=True, outcome=None, counted=None):
     """(sample, terms, term redundancies, effective n, history): checked, weighted and pruned."""
     terms = absorb_terms(absorb)
     need = Requirements.of(outcome=y, **groups, weights=weights, cluster=clusters, time=time, panel=panel, absorb=terms)
@@ -46,7 +47,7 @@ def prepare(df: DataFrame, y, groups: dict[str, list[str]], absorb, weights, wty
     else:
         df, n = df.withColumn("_w", F.lit(1.0)), None
     kept_terms, spanned = drop_spanned(df, terms)
-    df, history = prune(df, kept_terms, outcome, "_w" if wtype == "fweight" else None, singletons) if singletons or outcome else (df, [])
+    df, history = prune(df, kept_terms, outcome, "_w" if (wtype == "fweight" if counted is None else counted) else None, singletons) if singletons or outcome else (df, [])
     return df, terms, kept_terms, spanned, history
 
 
@@ -92,12 +93,14 @@ def ols(df: DataFrame, y: str, x, absorb=None, **options) -> Result:
     return ols_many(df, [y], x, absorb, **options)[0]
 
 
-def ols_many(df: DataFrame, ys: list[str], x, absorb=None, *, weights: str | None = None, weight_kind: str | None = None, vce: str | None = None, cluster=None, time: str | None = None, panel: str | None = None, kernel: str = "bartlett", bandwidth: float | None = None, dof: str = "pairwise", drop_singletons: bool = True, collinear: str = "warn", omit=()) -> list[Result]:
+@boundary("ols")
+def ols_many(df: DataFrame, ys: list[str], x, absorb=None, *, weights: str | None = None, weight_kind: str | None = None, vce: str | None = None, cluster=None, time: str | None = None, panel: str | None = None, kernel: str = "bartlett", bandwidth: float | None = None, dof: str = "pairwise", drop_singletons: bool = True, singleton_mode: str = "stata_compat", collinear: str = "warn", omit=()) -> list[Result]:
     """Least squares of each outcome on the same regressors: one sample, projection and Gram matrix for all.
 
     x: columns and factor terms; absorb: see absorb_terms. Without fixed effects a constant
     `_cons` is added. collinear: warn (drop and record), drop, or raise.
     """
+    policy(singleton_mode)
     clusters, wtype = names(cluster), weight_type(weight_kind, weights)
     kind = vce_kind(vce, clusters, wtype)
     ys = list(dict.fromkeys(ys))
@@ -156,5 +159,5 @@ def ols_many(df: DataFrame, ys: list[str], x, absorb=None, *, weights: str | Non
         if slopes and not math.isnan(stats["f"]):
             stats["f_p"] = dist.f_sf(stats["f"], len(slopes), df_resid)
         stats |= {"levels": info["levels"], "redundant": info["redundant"], "vce": kind, **extra}
-        out.append(Result(used, beta, vcov, float(df_resid), stats, omitted + spanned, list(history), fitted, None, "ols", terms, y))
+        out.append(Result(used, beta, vcov, float(df_resid), stats, omitted + spanned, list(history), fitted, None, "ols", terms, y, rows))
     return out

@@ -69,8 +69,9 @@ def wild_cluster_test(result, cluster: str, term: str, value: float = 0.0, reps:
     exact = kind == "rademacher" and count <= 16 and 2**count <= max(reps, 99)
     total = 2**count if exact else reps
     draws = []
-    for at in range(0, total, batch):
-        m = min(batch, total - at)
+    step = min(batch, draws_at_once(count, 2 * k + 1))
+    for at in range(0, total, step):
+        m = min(step, total - at)
         v = (((np.arange(at, at + m)[:, None] >> np.arange(count)) & 1) * 2.0 - 1) if exact else wild_weights(kind, (m, count), rng)
         moved = v[:, :, None] * scores
         b = center + moved.sum(axis=1) @ bread
@@ -84,6 +85,38 @@ def wild_cluster_test(result, cluster: str, term: str, value: float = 0.0, reps:
     return {"statistic": float(observed), "p_value": extreme / len(t) if exact else (1 + extreme) / (len(t) + 1), "draws": len(t), "exact": exact, "clusters": count}
 
 
+def wild_bootstrap(result, cluster: str, reps: int = 999, kind: str = "rademacher", seed: int = 0) -> np.ndarray:
+    """Draws x coefficients: the estimate plus bread times the cluster scores, each with a random multiplier."""
+    w, k = F.col("_w"), len(result.names)
+    scores = [w * F.col("_resid") * F.col(f"`{n}_r`") for n in result.names]
+    table = result.rows.groupBy(cluster).agg(*[F.sum(s).alias(f"s{i}") for i, s in enumerate(scores)]).orderBy(cluster).limit(MAX_CLUSTERS + 1).toArrow()
+    if not 2 <= table.num_rows <= MAX_CLUSTERS:
+        raise AbsorbiaError("resampling.clusters", f"{table.num_rows} clusters", stage="resampling")
+    sums = np.stack([table[f"s{i}"].to_numpy() for i in range(k)], axis=1)
+    bread = M.inverse(M.gram(result.rows, [F.col(f"`{n}_r`") for n in result.names], weight=w))
+    rng, out, step = np.random.default_rng(seed), [], draws_at_once(len(sums), 1)
+    for at in range(0, reps, step):
+        out.append(result.beta + wild_weights(kind, (min(step, reps - at), len(sums)), rng) @ sums @ bread)
+    return np.concatenate(out)
+
+
+def draws_at_once(clusters: int, width: int, budget: int = 256 << 20) -> int:
+    """How many draws of clusters x width doubles fit the budget, at least one."""
+    return max(1, budget // (8 * clusters * width))
+
+
+def pairs_bootstrap(fit: Callable[[DataFrame], np.ndarray], df: DataFrame, cluster: str, reps: int = 199, seed: int = 0) -> np.ndarray:
+    """Draws x coefficients of fits on clusters drawn with replacement; `_draw` tells the copies of a cluster apart."""
+    from .levels import codes
+
+    index = codes(df, [cluster], "_c").persist()
+    salts = np.random.SeedSequence(seed).generate_state(reps, np.uint32).astype(int).tolist()
+    try:
+        return replicates(lambda i: fit(draw_clusters(df, cluster, salts[i], index=index)), reps)
+    finally:
+        index.unpersist()
+
+
 def draw_clusters(df: DataFrame, cluster: str, seed: int, name: str = "_draw", index: DataFrame | None = None) -> DataFrame:
     """Clusters drawn with replacement, each draw with an id of its own.
 

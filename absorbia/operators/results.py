@@ -32,6 +32,19 @@ class Result:
     model: str = ""
     terms: list = field(default_factory=list)
     outcome: str = ""
+    held: DataFrame | None = None
+
+    def release(self) -> None:
+        """Give back the memory of the kept estimation rows; they are made again where they are needed."""
+        if self.held is not None:
+            self.held.unpersist()
+            self.held = None
+
+    def omission_note(self, most: int = 8) -> str:
+        """One line that names the omitted columns, the first `most` of them, and why."""
+        named = ", ".join(f"{name} ({why})" for name, why in self.omitted[:most])
+        more = len(self.omitted) - most
+        return f"omitted: {named}" + (f" and {more} more" if more > 0 else "") if self.omitted else ""
 
     @property
     def se(self) -> np.ndarray:
@@ -87,7 +100,7 @@ def predict(result: Result, df: DataFrame, kind: str = "xb", unknown: str = "rai
     Levels that were not in the sample, and levels of different components together (their sum is
     not identified), raise, or give null with unknown="null".
     """
-    from .effects import recover
+    from .effects import recover, recover_slopes, solution_of
 
     names = [n for n in result.names if n != "_cons"]
     b = dict(zip(result.names, result.beta.tolist()))
@@ -105,15 +118,17 @@ def predict(result: Result, df: DataFrame, kind: str = "xb", unknown: str = "rai
         return df.withColumn("prediction", F.sqrt(total))
     if kind not in ("fe", "response"):
         raise AbsorbiaError("prediction.kind", f"unknown kind {kind!r}", stage="prediction")
-    if any(t.slopes for t in result.terms):
-        raise AbsorbiaError("prediction.slopes", "effects of slope terms are not recovered", stage="prediction", suggestion="predict xb")
     out, fixed, same = df, F.lit(0.0), F.lit(True)
-    tables = recover(result)
+    solved = solution_of(result)
+    tables, slopes = recover(result, solved=solved), recover_slopes(result, solved=solved)
+    for i, (t, slope, table) in enumerate(slopes):
+        out = out.join(table.select(*t.keys, F.col("effect").alias(f"_s{i}")), list(t.keys), "left")
+        fixed = fixed + F.col(f"_s{i}") * F.col(slope).cast("double")
     for i, (t, table) in enumerate(tables):
         out = out.join(table.select(*t.keys, F.col("effect").alias(f"_e{i}"), F.col("component").alias(f"_c{i}")), list(t.keys), "left")
         fixed = fixed + F.col(f"_e{i}")
         same = same & F.col("_c0").eqNullSafe(F.col(f"_c{i}"))
-    if unknown == "raise" and tables:
+    if unknown == "raise" and (tables or slopes):
         bad = out.agg(F.max(fixed.isNull()), F.max(fixed.isNotNull() & ~same)).first()
         if bad[0]:
             raise AbsorbiaError("prediction.unknown_level", "a level was not in the estimation sample", stage="prediction")
@@ -122,4 +137,4 @@ def predict(result: Result, df: DataFrame, kind: str = "xb", unknown: str = "rai
     fixed = F.when(same, fixed)
     poisson = "poisson" in result.model
     value = fixed if kind == "fe" else (F.exp(xb + fixed) if poisson else xb + fixed)
-    return out.withColumn("prediction", value).drop(*[f"_{x}{i}" for x in "ec" for i in range(len(tables))])
+    return out.withColumn("prediction", value).drop(*[f"_{x}{i}" for x in "ec" for i in range(len(tables))], *[f"_s{i}" for i in range(len(slopes))])

@@ -7,10 +7,11 @@ import json
 
 from pyspark.sql import DataFrame
 
-from absorbia.plans.specs import Requirements
+from absorbia.plans.specs import Requirements, absorb_terms
 from absorbia.sources.cache import ResultStore
 from absorbia.sources.readers import project, source_fingerprint
 
+from .absorb import residualize
 from .iv import iv
 from .ols import ols, ols_many
 
@@ -23,7 +24,7 @@ class Session:
         for s in specs or []:
             need = need.union(Requirements.of(outcome=s["y"], regressor=[x for x in ([s["x"]] if isinstance(s.get("x"), str) else s.get("x", s.get("exog", []))) if isinstance(x, str)], endogenous=s.get("endog"), instrument=s.get("instruments"), weights=s.get("weights"), cluster=s.get("cluster"), time=s.get("time"), panel=s.get("panel"), absorb=s.get("absorb")))
         self.frame = (project(df, need.columns) if specs else df).persist()
-        self.store, self.done, self.hits = store, {}, 0
+        self.store, self.done, self.projected, self.hits = store, {}, {}, 0
         self._source = source_fingerprint(self.frame) if store else ""
 
     def _key(self, kind: str, spec: dict) -> str:
@@ -62,6 +63,20 @@ class Session:
                 self.store.save_result(keys[y], result.publication())
         return [self.done[keys[y]] for y in outcomes]
 
+    def within(self, variables: list[str], absorb, weights: str | None = None) -> DataFrame:
+        """The frame with {variable}_r, residuals on the terms; kept for the session, and in the store for later ones."""
+        terms = absorb_terms(absorb)
+        key = "within-" + self._key("within", {"variables": variables, "absorb": [(t.keys, t.slopes, t.intercept) for t in terms], "weights": weights})
+        if key not in self.projected:
+            make = lambda: residualize(self.frame, terms, variables, weights)[0]
+            self.projected[key] = self.store.table(key, make) if self.store else make().persist()
+        return self.projected[key]
+
     def close(self) -> None:
         self.frame.unpersist()
+        for result in self.done.values():
+            result.release()
+        for table in self.projected.values():
+            table.unpersist()
+        self.projected.clear()
         self.done.clear()

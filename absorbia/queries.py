@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from absorbia.functions import dist, kernels
 from absorbia.operators import checks, groups, levels, resampling, sample
 from absorbia.operators.absorb import residualize
-from absorbia.operators.effects import recover
+from absorbia.operators.effects import diagnose, recover, recover_slopes
 from absorbia.operators.iv import iv
 from absorbia.operators.ols import ols
 from absorbia.operators.poisson import ivppml, ppml, separated_rows
@@ -544,6 +544,41 @@ def csv_source(spark, sf_dir):
     return df.groupBy("c_mktsegment").agg(F.count("*").alias("n"), F.sum("c_custkey").alias("keys"))
 
 
+@query("SELECT 'slope' AS kind, CAST(l_suppkey AS BIGINT) AS level, round(CAST(l_suppkey % 5 AS DOUBLE), 4) AS effect FROM lineitem GROUP BY ALL UNION ALL SELECT 'intercept', CAST(l_suppkey AS BIGINT), round(CAST(l_suppkey % 3 AS DOUBLE), 4) FROM lineitem GROUP BY ALL")
+def effects_slopes(spark, sf_dir):
+    """Known intercepts and slopes of suppliers, recovered from a fit."""
+    li = _t(spark, sf_dir, "lineitem").withColumn("y", 2.0 * F.col("l_discount") + F.col("l_suppkey") % 3 + (F.col("l_suppkey") % 5) * F.col("l_quantity"))
+    r = ols(li, "y", "l_discount", [fe("l_suppkey", slopes="l_quantity")], drop_singletons=False)
+    one = lambda kind, x: x.select(F.lit(kind).alias("kind"), F.col("l_suppkey").cast("long").alias("level"), F.round("effect", 4).alias("effect"))
+    return one("slope", recover_slopes(r)[0][2]).unionByName(one("intercept", recover(r)[0][1]))
+
+
+@query("SELECT l_orderkey, l_linenumber, round(2.0 * l_discount + l_suppkey % 3 + (l_suppkey % 5) * l_quantity, 4) AS prediction FROM lineitem")
+def predict_slopes(spark, sf_dir):
+    li = _t(spark, sf_dir, "lineitem").withColumn("y", 2.0 * F.col("l_discount") + F.col("l_suppkey") % 3 + (F.col("l_suppkey") % 5) * F.col("l_quantity"))
+    r = ols(li, "y", "l_discount", [fe("l_suppkey", slopes="l_quantity")], drop_singletons=False)
+    return predict(r, li, "response").select("l_orderkey", "l_linenumber", F.round("prediction", 4).alias("prediction"))
+
+
+@query("SELECT l_orderkey, l_linenumber, round(l_extendedprice - avg(l_extendedprice) OVER (PARTITION BY l_suppkey), 4) AS x, round(l_tax - avg(l_tax) OVER (PARTITION BY l_suppkey), 6) AS z, true AS same FROM lineitem")
+def session_within(spark, sf_dir):
+    """Residuals kept in a store by one session and read by another."""
+    store = ResultStore(spark, f"{shared_folder(spark)}/absorbia/results-{uuid.uuid4().hex}")
+    li = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice", "l_tax")
+    first, second = Session(li, store=store), Session(li, store=store)
+    first.within(["l_extendedprice", "l_tax"], "l_suppkey")
+    out = second.within(["l_extendedprice", "l_tax"], "l_suppkey")
+    same = list(first.projected) == list(second.projected)
+    return out.select("l_orderkey", "l_linenumber", F.round("l_extendedprice_r", 4).alias("x"), F.round("l_tax_r", 6).alias("z"), F.lit(same).alias("same"))
+
+
+@query("""WITH s AS (SELECT l_suppkey, count(*) AS r FROM lineitem GROUP BY 1)
+SELECT 'l_orderkey' AS term, count(*) AS lone FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey HAVING count(*) = 1) HAVING count(*) > 0 UNION ALL SELECT 'l_suppkey', count(*) FROM s WHERE r = 1 HAVING count(*) > 0""")
+def recovery_diagnosis(spark, sf_dir):
+    found = diagnose(_t(spark, sf_dir, "lineitem"), [fe("l_orderkey"), fe("l_suppkey")])
+    return spark.createDataFrame([(f["terms"][0], f["count"]) for f in found if f["code"] == "effects.singletons"], "term string, lone long")
+
+
 _DK_KERNELS = ("truncated", "parzen", "thann", "thamm", "qs", "daniell", "tent")
 
 
