@@ -29,6 +29,8 @@ from .common import claim, map_text, one_row_an_id, pieces
 #: Bounds of what is fitted: labelled documents in all, and besides of each language; longest n-gram.
 MAX_DOCS = 4_000
 LANG_DOCS = 1_000
+#: Parts of a language whose least rows are found apart.
+PARTS = 256
 LONGEST = 5
 UNKNOWN = "und"
 MEMO = 500_000
@@ -119,8 +121,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
     key = F.when(F.col(id_col).isNull(), F.xxhash64(F.lit(1), lang_col, text_col)).otherwise(F.xxhash64(F.lit(0), lang_col, id_col))
     known = known.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), key.alias("key"))
-    keys = known.select("lang", "key").distinct()
-    own = keys.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("key"))).where(F.col("rank") <= lang_docs)
+    # the least keys of a part of each language first: no task gets the rows of a frequent language
+    keys = known.select("lang", "key", F.pmod("key", F.lit(PARTS)).alias("part")).repartition("lang", "part").distinct()
+    least = lambda rows, *by: rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("key"))).where(F.col("rank") <= lang_docs)
+    own = least(least(keys, "lang", "part"), "lang")
     drawn = keys.orderBy("key").limit(max_docs).select("key").unionByName(own.select("key")).distinct()
     found = known.join(F.broadcast(drawn), "key", "left_semi")
     sample = one_row_an_id(found.select("key", F.xxhash64("text").alias("h"), "lang", "text"), "key").select("lang", "text")
