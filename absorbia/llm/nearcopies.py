@@ -1,10 +1,15 @@
-"""Near copies by exact Jaccard similarity of word shingles, by prefix filtering.
+"""Near copies by SimHash anchor covering with an exact check, and what lies beyond its reach.
 
 Two texts are linked if the sets of their five-word shingles have a Jaccard similarity of at least
-4/5. With all shingles in one order, a set of n is written under its first n - ceil(4n/5) + 1
+4/5. First simhash's covering-code anchors link the sets' 64-bit SimHash fingerprints within three
+bits, and the sets of these links are compared whole. At the similarity wanted most pairs differ in
+more bits than any cover of useful size reaches, so the rest is found by prefix filtering, among
+sets that the cover left in different components.
+
+With all shingles in one order, a set of n is written under its first n - ceil(4n/5) + 1
 shingles; two sets that reach the similarity share one of these, so no pair is missed. Any order
 is right: shingles that are frequent in a sample come last, which only keeps the groups of a
-shingle small. Pairs are left out by exact bounds (sizes, places) and by their sets' 64-bit
+shingle small. Pairs are left out by exact bounds (sizes, places) and by their sets'
 SimHash fingerprints: at the similarity wanted these differ in 10 bits, give or take 3, and pairs
 that differ in more than FAR of 64 are not compared. Of the rest, parity sketches leave out pairs
 that surely differ in more shingles than allowed, and what remains is compared on whole sets.
@@ -26,6 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from . import simhash
 from .common import bounded_ids, discard, map_text, materialize, pieces
 from .graph import components
 from .simhash import _LOWER, SEED
@@ -271,16 +277,17 @@ def _both(pairs: DataFrame, values: DataFrame) -> DataFrame:
 
 
 def _possible_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs whose parity sketches and sizes allow that they are alike."""
+    """The pairs in different components (comp) whose parity sketches and sizes allow that they are alike."""
 
     def run(batches):
         for batch in batches:
             u, v, x, y = (batch.column(k) for k in range(4))
             n, sketches = np.arange(len(u)), x.field("parity").to_pylist() + y.field("parity").to_pylist()
-            keep = pa.array(9 * least_differences(sketches, n, n + len(n)) <= x.field("size").to_numpy() + y.field("size").to_numpy())
+            possible = 9 * least_differences(sketches, n, n + len(n)) <= x.field("size").to_numpy() + y.field("size").to_numpy()
+            keep = pa.array(possible & (x.field("comp").to_numpy() != y.field("comp").to_numpy()))
             yield pa.RecordBatch.from_arrays([u.filter(keep), v.filter(keep)], names=["u", "v"])
 
-    return _both(pairs, nodes.select("node", F.struct("size", "parity").alias("value"))).mapInArrow(run, "u long, v long")
+    return _both(pairs, nodes.select("node", F.struct("size", "parity", "comp").alias("value"))).mapInArrow(run, "u long, v long")
 
 
 def _verified(pairs: DataFrame, source: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -305,16 +312,51 @@ def _verified(pairs: DataFrame, source: DataFrame, nodes: DataFrame) -> DataFram
     return out
 
 
+def _equal_pairs(batches):
+    """Pairs (u, v) of rows (fp, node), sorted by fp, that follow each other and have one fingerprint."""
+    fp, node = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for batch in batches:
+        fp, node = (np.r_[x[-1:], c.to_numpy()] for x, c in zip((fp, node), batch.columns))
+        at = np.flatnonzero(fp[1:] == fp[:-1])
+        if len(at):
+            p = _pairs(node, at, at + 1)
+            yield pa.RecordBatch.from_arrays([pa.array(p[:, 0].copy()), pa.array(p[:, 1].copy())], names=["u", "v"])
+
+
+def covered(source: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links (u, v) by SimHash anchor covering: alike sets of which the fingerprints are equal or linked.
+
+    The least node of a fingerprint stands in the links of different ones. A link whose sets are not
+    alike is dropped; alike sets that this leaves apart are for the prefixes to find.
+    """
+    firsts = materialize(nodes.groupBy("fp").agg(F.min("node").alias("first")), "fingerprints")
+    ends = [firsts.select(F.col("fp").alias(c), F.col("first").alias(f"first_{c}")).hint("merge") for c in "uv"]
+    near = simhash.links(firsts).distinct().join(ends[0], "u").join(ends[1], "v")
+    near = near.select(F.least("first_u", "first_v").alias("u"), F.greatest("first_u", "first_v").alias("v"))
+    equal = nodes.select("fp", "node", "size").repartition("fp").sortWithinPartitions("fp", "size", "node").select("fp", "node").mapInArrow(_equal_pairs, "u long, v long")
+    out = _verified(_possible_pairs(near.unionByName(equal).distinct(), nodes.withColumn("comp", F.col("node"))), source, nodes)
+    discard(firsts)
+    return out
+
+
+def _with_components(rows: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of nodes with the component (comp) that the links found give them, and the table of these."""
+    roots = components(found)
+    return rows.join(roots.hint("merge"), "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root"), roots
+
+
 def links(source: DataFrame, nodes: DataFrame) -> DataFrame:
     """Links (u, v) that connect all sets that are alike; nodes: (node, size, fp, text_hash, prefix, parity)."""
+    near = covered(source, nodes)
+    apart, roots = _with_components(nodes, near)
     posted = nodes.select("node", "size", "fp", F.posexplode("prefix").alias("pos", "key"))
     dealt = posted.select("key", "fp", "node", F.expr("shiftleft(cast(size as bigint), 32) | pos").alias("place")).repartition("key").sortWithinPartitions("key")
     first = materialize(dealt.mapInArrow(_first_pairs, "key long, u long, v long, place long, fp long"), "pairs")
-    found = _verified(_possible_pairs(first.where("v is not null").select("u", "v").distinct(), nodes), source, nodes)
+    found = near.unionByName(_verified(_possible_pairs(first.where("v is not null").select("u", "v").distinct(), apart), source, nodes))
+    discard(roots)
     large = first.where("v is null").select("key", F.col("u").alias("node"), "place", "fp")
     if not large.isEmpty():
-        roots = components(found)
-        rows = large.join(roots.hint("merge"), "node", "left").withColumn("comp", F.coalesce("root", "node"))
+        rows, roots = _with_components(large, found)
         rows = rows.join(nodes.select("node", "parity").hint("merge"), "node")
         dealt = rows.repartition("key").sortWithinPartitions("key").select("key", "node", "place", "comp", "fp", "parity")
         found = found.unionByName(_verified(dealt.mapInArrow(_later_pairs, "u long, v long").distinct(), source, nodes))

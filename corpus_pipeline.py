@@ -35,6 +35,9 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of least id of each class of near copies (five-word Jaccard 0.8 or more); rows without an id stay.
 
+    SimHash fingerprints are linked by covering anchors and the links checked on whole sets; copies
+    beyond the reach of the anchors are found by prefixes.
+
     Rows are told apart by id and text: of a row that is there several times, id and text equal,
     any one is kept.
     """

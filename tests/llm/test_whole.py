@@ -61,6 +61,43 @@ def test_near_copies_are_all_found(spark):
     assert nearcopies.near_copies(docs.limit(0)).count() == 0
 
 
+def test_anchors_link_near_copies_before_the_prefixes(spark, monkeypatch):
+    monkeypatch.setitem(globals(), "rng", random.Random(11))  # the other tests draw what they drew
+    base = [prose(n) for n in (300, 600, 900, 900)]
+    words = base + [edited(b, 1) for b in base for _ in range(12)] + [prose(300) for _ in range(20)] + [prose(4) for _ in range(30)]
+    texts = [" ".join(w) for w in words] + [None, ""]
+    sets = list({nearcopies.set_id(h): (t, h) for t in texts for h in [nearcopies.shingles(t)]}.items())
+    bits = [nearcopies.set_fingerprint(h) for _, (_, h) in sets]
+    bits[5] = bits[4]  # of one fingerprint, alike
+    bits[-3] = bits[-4]  # of one fingerprint, not alike
+    # no set is written under any shingle: what is linked, the anchors have linked
+    rows = [(n, len(h), f, t, [], bytearray(nearcopies.parity(h))) for (n, (t, h)), f in zip(sets, bits)]
+    nodes = spark.createDataFrame(rows, "node long, size int, fp long, text string, prefix array<long>, parity binary").withColumn("text_hash", nearcopies.text_hash()).drop("text")
+    source = spark.createDataFrame([(t,) for t in texts], "text string").withColumn("text_hash", nearcopies.text_hash())
+    near = [(i, j) for i in range(len(sets)) for j in range(i) if ((bits[i] ^ bits[j]) & (1 << 64) - 1).bit_count() <= 3]
+    want = {frozenset((sets[i][0], sets[j][0])) for i, j in near for a, b in [(sets[i][1][1], sets[j][1][1])] if nearcopies.alike(len(np.intersect1d(a, b)), len(a), len(b))}
+    assert len(want) < len(near)
+    found = nearcopies.links(source, nodes)
+    got = {frozenset((r["u"], r["v"])) for r in found.collect()}
+    assert got and got <= want
+    classes = lambda edges: {frozenset(c) for c in _classes_of(edges)}
+    assert classes(got) == classes(want)
+
+
+def _classes_of(edges):
+    out = []
+    for e in edges:
+        met = [c for c in out if c & e]
+        out = [c for c in out if not c & e] + [set(e).union(*met)]
+    return out
+
+
+def test_prefixes_compare_no_pair_that_the_anchors_linked(spark):
+    pairs, parity = spark.createDataFrame([(1, 2), (1, 3)], "u long, v long"), nearcopies.parity(np.arange(50, dtype=np.uint64))
+    nodes = spark.createDataFrame([(n, 50, bytearray(parity), c) for n, c in ((1, 1), (2, 1), (3, 3))], "node long, size int, parity binary, comp long")
+    assert [tuple(r) for r in nearcopies._possible_pairs(pairs, nodes).collect()] == [(1, 3)]
+
+
 def test_parity_sketches_bound_the_difference():
     draw = np.random.default_rng(3)
     sets = [np.unique(draw.integers(0, 1 << 64, n, np.uint64)) for n in (0, 1, 5, 63, 64, 65, 200, 1000, 5000)]
